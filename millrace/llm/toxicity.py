@@ -27,49 +27,47 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, in_chunks, raw_texts, starts_of
 
-BUCKET_BITS, DIMS, SIZES = 18, 8, (3, 4, 5, 6)
+BUCKET_BITS, DIMS, SIZES = 20, 8, (3, 4, 5, 6)
 TRAIN_ROWS, CHUNK = 6000, 1 << 18
+LEAST_TEXTS, LEAST_CHI2, SCALE = 5, 36.0, 300.0
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each window, number of windows of each text)."""
+def windows(texts: list[bytes]):
+    """(start of each text, then for each size the buckets at each place and which of them count)."""
     words = [b" " + b" ".join(t.lower().split()) + b" " for t in texts]
     size = np.array([len(w) for w in words])
     buf = np.frombuffer(b"".join(words), np.uint8)
     n = len(buf)
     space = np.concatenate([[0], np.cumsum(buf == 32, dtype=np.int32)])
-    owner_end = np.repeat(np.cumsum(size), size)
+    ends = np.cumsum(size)
     x = buf.astype(np.uint32)
-    found, owner = [], []
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    out = []
     for k in SIZES:
-        m = n - k + 1
-        if m <= 0:
-            continue
-        h = np.full(m, 2166136261 + k, np.uint32)
+        m = max(0, n - k + 1)
+        h = np.full(m, (2166136261 + k) & 0xFFFFFFFF, np.uint32)
         for j in range(k):
-            h = (h ^ x[j : j + m]) * np.uint32(16777619)
+            h ^= x[j : j + m]
+            h *= np.uint32(16777619)
         h ^= h >> np.uint32(15)
-        # no space strictly inside, and not across texts
-        ok = (space[k - 1 : k - 1 + m] == space[1 : 1 + m]) & (np.arange(m) + k <= owner_end[:m])
-        at = np.flatnonzero(ok)
-        found.append(h[at] & np.uint32((1 << BUCKET_BITS) - 1))
-        owner.append(doc[at])
-    if not found:
-        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-    ids, who = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(who, kind="stable")
-    return ids[order], np.bincount(who, minlength=len(texts))
+        h &= np.uint32((1 << BUCKET_BITS) - 1)
+        ok = space[k - 1 : k - 1 + m] == space[1 : 1 + m]  # no space strictly inside
+        for j in range(1, k):
+            ok[np.maximum(ends[ends - j < m] - j, 0)] = False  # nor across texts
+        out.append((h, ok))
+    return ends - size, size, out
 
 
 def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, share) of the distinct windows of each text."""
+    """(text, bucket, share) of the distinct windows of each text, in order of the texts."""
     rows, ids, share = [], [], []
     at = 0
     for chunk in in_chunks(texts, CHUNK):
-        f, n = windows(chunk)
-        key, count = np.unique(np.repeat(np.arange(len(chunk), dtype=np.int64), n) << BUCKET_BITS | f, return_counts=True)
+        starts, size, found = windows(chunk)
+        doc = np.repeat(np.arange(len(chunk), dtype=np.int64), size)
+        key = np.concatenate([doc[: len(h)][ok] << BUCKET_BITS | h[ok] for h, ok in found])
+        key, count = np.unique(key, return_counts=True)
         r = key >> BUCKET_BITS
+        n = np.bincount(r, count, len(chunk))
         rows.append(r + at)
         ids.append(key & (1 << BUCKET_BITS) - 1)
         share.append((count / n[r]).astype(np.float32))
@@ -78,68 +76,76 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cat(rows, np.int64), cat(ids, np.int64), cat(share, np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 40, rate: float = 0.15, decay: float = 2e-4, seed: int = 7):
+def informative(rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which buckets stand in LEAST_TEXTS texts or more and depend on the label by a chi-square of LEAST_CHI2 or more."""
+    n, size = len(y), 1 << BUCKET_BITS
+    has = np.bincount(ids, minlength=size).astype(float)
+    both = np.bincount(ids, y[rows], size)
+    p = y.mean()
+    chi2 = (both - has * p) ** 2 / np.maximum(has * p * (1 - p) * (1 - has / (n + 1)), 1e-9)
+    return (has >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 30, rate: float = 0.05, seed: int = 7):
     """(score of each bucket, bias): embeddings and softmax by Adam on the joint loss.
 
-    The loss's gradient in a row of the table is one number times the softmax's weight difference,
-    so a step scatters numbers, not vectors.
+    Rows of uninformative buckets stay zero vectors, so that noise in the labels isn't learned by heart.
+    The loss's gradient in a row is one number times the softmax's weight difference, so a step
+    scatters numbers, not vectors.
     """
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
-    if not len(texts) or len(set(labels.tolist())) < 2:
-        share = float(np.mean(labels)) if len(texts) else 0.25
-        share = min(max(share, 0.01), 0.99)
-        return np.zeros(size, np.float32), float(np.log(share / (1 - share)))
+    y = np.asarray(labels, np.float64)
     rows, ids, share = bags(texts)
-    seen, ids = np.unique(ids, return_inverse=True)  # only rows that some text uses are moved
-    table = rng.normal(0, 0.1, (len(seen), DIMS))
-    weight = rng.normal(0, 1, (DIMS, 2))
-    bias = np.zeros(2)
-    # rarer windows weigh more at the start of training: inverse document frequency as step size
-    idf = np.log((1 + len(texts)) / (1 + np.bincount(ids, minlength=len(seen))))
-    share = share * 20
-    y = labels.astype(np.float64)
-    moments = [np.zeros(len(seen)), np.zeros(len(seen)), np.zeros((DIMS, 2)), np.zeros((DIMS, 2))]
-    bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
-    batch, step = max(64, len(texts) // 16), 0
+    keep = informative(rows, ids, y)[ids] if len(set(y.tolist())) == 2 else np.zeros(len(ids), bool)
+    if not keep.any():
+        p = min(max(float(y.mean()), 0.01), 0.49) if len(y) else 0.25
+        return np.zeros(size, np.float32), float(np.log(p / (1 - p)))
+    rows, ids, share = rows[keep], ids[keep], share[keep].astype(np.float64) * SCALE
+    seen, ids = np.unique(ids, return_inverse=True)
+    table, weight, bias = rng.normal(0, 0.1, (len(seen), DIMS)), rng.normal(0, 1, (DIMS, 2)), np.zeros(2)
+    moments = [np.zeros(x.shape) for x in (table[:, 0], table[:, 0], weight, weight, bias, bias)]
+    bounds = np.searchsorted(rows, np.arange(len(y) + 1))
+    batch, step = max(32, len(y) // 16), 0
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
-        for at in range(0, len(texts), batch):
-            to = min(at + batch, len(texts))
+        for at in range(0, len(y), batch):
+            to = min(at + batch, len(y))
             cut = slice(bounds[at], bounds[to])
             r, f, x = rows[cut] - at, ids[cut], share[cut]
             diff = weight[:, 1] - weight[:, 0]
             z = np.bincount(r, (table @ diff)[f] * x, to - at) + bias[1] - bias[0]
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at:to]) / (to - at)
-            scalar = np.bincount(f, err[r] * x, len(seen)) + decay * (table @ diff) / len(seen)
-            step += 1
+            scalar = np.bincount(f, err[r] * x, len(seen))
             grad = table.T @ scalar
-            for m, v, g in ((moments[0], moments[1], scalar), (moments[2], moments[3], np.stack([-grad, grad], 1))):
-                m *= 0.9
-                m += 0.1 * g
-                v *= 0.999
-                v += 0.001 * g * g
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            move = fix * moments[0] / (np.sqrt(moments[1]) + 1e-7) * np.minimum(1, idf / 6)
-            table -= lr * move[:, None] * diff / np.linalg.norm(diff)
-            weight -= 0.1 * lr * fix * moments[2] / (np.sqrt(moments[3]) + 1e-7)
-            bias += lr * np.array([1, -1]) * err.sum()
+            step += 1
+            moves = []
+            for i, g in enumerate((scalar, np.stack([-grad, grad], 1), err.sum() * np.array([-1, 1]))):
+                moments[2 * i] = 0.9 * moments[2 * i] + 0.1 * g
+                moments[2 * i + 1] = 0.999 * moments[2 * i + 1] + 0.001 * g * g
+                moves.append(lr * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * moments[2 * i] / (np.sqrt(moments[2 * i + 1]) + 1e-8))
+            table -= moves[0][:, None] * diff / np.linalg.norm(diff)
+            weight -= moves[1]
+            bias -= moves[2]
     score = np.zeros(size, np.float32)
-    score[seen] = 20 * table @ (weight[:, 1] - weight[:, 0])
+    score[seen] = SCALE * table @ (weight[:, 1] - weight[:, 0])
     return score, float(bias[1] - bias[0])
 
 
 def score_texts(texts: list[bytes], score: np.ndarray, bias: float) -> np.ndarray:
-    """Softmax scores of whole texts; each is summed by itself, so equal texts have equal scores."""
+    """Softmax scores of whole texts."""
     out = []
     for chunk in in_chunks(texts, CHUNK):
-        f, n = windows(chunk)
-        v = score[f].astype(np.float64)
-        sums = np.zeros(len(chunk))
-        some = np.flatnonzero(n)
-        if len(some):
-            sums[some] = np.add.reduceat(v, starts_of(n)[some]) / n[some]
-        out.append(1 / (1 + np.exp(-np.clip(sums + bias, -30, 30))))
+        starts, size, found = windows(chunk)
+        sums, n = np.zeros(len(chunk)), np.zeros(len(chunk))
+        total = int(size.sum())
+        values, counted = np.zeros(total), np.zeros(total, np.int32)
+        for h, ok in found:
+            values[: len(h)] += score[h] * ok
+            counted[: len(h)] += ok
+        sums = np.add.reduceat(values, starts)
+        n = np.add.reduceat(counted, starts)
+        out.append(1 / (1 + np.exp(-np.clip(sums / np.maximum(n, 1) + bias, -30, 30))))
     return np.concatenate(out) if out else np.zeros(0)
 
 
