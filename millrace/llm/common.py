@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
+_shipped: set[str] = set()
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes for the session's Python operators."""
+    """Readies the session for Python operators: Arrow batches bounded by rows and bytes, and the package on the workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[2]
+        name = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in (root / "millrace").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(name))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

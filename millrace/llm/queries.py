@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, token_counts, toxicity, url_filter
+from . import media, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op4_media_columns": media.query,
+    "op6_simhash_near_dedup": simhash.query,
     "op7_toxicity": toxicity.query,
     "op8_token_counts": token_counts.query,
     "op9_url_filters": url_filter.query,
