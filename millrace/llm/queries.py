@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, simhash, token_counts, toxicity, url_filter
+from . import media, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_media_columns": media.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_toxicity": toxicity.query,
