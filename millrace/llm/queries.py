@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import contamination, media, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+import corpus_pipeline
+
+from . import chat_format, contamination, language_id, media, mixing, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing_sources": mixing.query,
+    "op2_chat_formatting": chat_format.query,
     "op3_suffix_array_dedup": suffix_dedup.query,
     "op4_media_columns": media.query,
+    "op5_language_id": language_id.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_toxicity": toxicity.query,
     "op8_token_counts": token_counts.query,
     "op9_url_filters": url_filter.query,
     "op10_benchmark_decontamination": contamination.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {"op9_url_filters": url_filter.ORACLE}

@@ -370,20 +370,22 @@ def _merge_bucket(n: int, schema: pa.Schema):
 
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents with their bucket `home`, packets of covered stretches by bucket)."""
     spark = docs.sparkSession
     bound_batches(spark)
     n = 2 * parts(docs)
     schema, entry_schema = arrow_schema(spark, PACKET), arrow_schema(spark, ENTRIES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
 
     def homes(batches):
         for b in batches:
             home = _home(_ids(b.column(0)), n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["doc_id", "text", "home"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["doc_id", "text", *carry, "home"])
 
-    placed = texts.mapInArrow(homes, "doc_id long, text string, home int")
+    more = "".join(f"{c} {whole.schema[c].dataType.simpleString()}, " for c in carry)
+    placed = whole.mapInArrow(homes, f"doc_id long, text string, {more}home int")
     runs = texts.mapInArrow(_find_runs(n, schema), PACKET).repartition(n, "bucket").sortWithinPartitions("bucket")
     found = written(_grouped(runs, _sort_out(n, schema)), "runs")
     entries = placed.groupBy("home").cogroup(found.where(f"kind = {SEND}").withColumnRenamed("bucket", "home").groupBy("home")).applyInArrow(_entries(n, entry_schema), ENTRIES)
@@ -391,10 +393,14 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, found.where(f"kind = {COVER}").unionByName(covers).withColumnRenamed("bucket", "home")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if keep_text."""
-    placed, covers = repeats(docs)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_crc long, kept binary" * keep_text
+def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the remaining text.
+
+    In kept, characters that a removal has cut in two are left out whole. carry: more columns of docs.
+    """
+    placed, covers = repeats(docs, carry)
+    more = [*(["kept string"] if keep_text else []), *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)]
+    ddl = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *more])
     schema = arrow_schema(docs.sparkSession, ddl)
 
     def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
@@ -418,8 +424,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 gone = np.cumsum(edge[:-1]) > 0
                 n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            out.append((i, len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), *((c, kept) if keep_text else ())))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.append((i, len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), *((kept.decode("utf-8", "ignore"),) if keep_text else ())))
+        own = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
+        return pa.Table.from_arrays([*own, *(texts[c] for c in carry)], schema=schema)
 
     return placed.groupBy("home").cogroup(covers.groupBy("home")).applyInArrow(run, ddl)
 
