@@ -410,7 +410,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ..
         order = np.lexsort((crc, doc))
         key = np.stack([doc[order], crc[order].astype(np.int64)], 1)
         cut = np.append(0, np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1) if len(order) else np.zeros(0, int)
-        spans = {(int(doc[order[a]]), int(crc[order[a]])): order[a:b] for a, b in zip(cut, [*cut[1:], len(order)], strict=True)}
+        spans = {(int(doc[order[a]]), int(crc[order[a]])): order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order))[: len(cut)], strict=True)}
         ids = texts["doc_id"].combine_chunks()
         out = []
         for i, k, t in zip(ids.to_pylist(), _ids(ids).tolist(), raw_texts(texts["text"].combine_chunks()), strict=True):
