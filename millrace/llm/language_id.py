@@ -2,7 +2,7 @@
 
 Log posterior = log prior of the host + text likelihood + declared language + address suffix.
 
-- Text: hashed byte trigrams under a multinomial for each language, all of a text's trigrams counted and
+- Text: hashed byte trigrams of letters and spaces under a multinomial for each language, all counted and
   the sum tempered to EVIDENCE trigrams' worth, as neighbouring ones aren't independent. A language of
   none (every trigram alike) takes texts that no known language explains.
 - Declared: the markup's lang attribute, or a documents table's lang column; it is right with TRUST.
@@ -48,11 +48,14 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = (x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:] * np.uint32(0xC2B2AE3D)) if len(x) > 2 else x[:0]
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     h = ((h >> np.uint32(12)) & np.uint32(BUCKETS - 1)).astype(np.int64)
-    inside = np.ones(len(h), bool)
+    # digits and punctuation tell nothing of a language; only letters and spaces count
+    said = SAYS[x]
+    inside = said[:-2] & said[1:-1] & said[2:] if len(x) > 2 else np.zeros(0, bool)
     ends = np.cumsum(n)[:-1]
     for back in (1, 2):
         inside[ends - back] = False
-    return h[inside], np.maximum(n - 2, 0)
+    owner = np.repeat(np.arange(len(texts)), n)[: len(h)]
+    return h[inside], np.bincount(owner[inside], minlength=len(texts))
 
 
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
@@ -99,6 +102,9 @@ def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes that count: letters, the space and all of UTF-8's longer characters.
+SAYS = np.array([b == 32 or b >= 128 or chr(b).isalpha() for b in range(256)])
+
 TAG = re.compile(rb"<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", re.S | re.I)
 LANG = re.compile(rb"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,10 +150,9 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
         words = b.lower().split()
         for k, (item, x) in enumerate((i, x) for i, x in items if x):
             n, counts = len(x.split()), index.counts[k]
+            codes = [index.code.get(tuple(index.vocabulary.get(y, 0) for y in words[i : i + 5])) for i in range(len(words) - 4)]
             for at in range(max(1, len(words) - n + 1)):
-                w = words[at : at + n]
-                sh = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-                have = {s: sum(tuple(index.vocabulary.get(y, 0) for y in z) == code for z in sh) for code, s in index.code.items()}
+                have = Counter(codes[at : at + n - 4])
                 if sum(min(c, have[s]) * index.weight[s] for s, c in counts.items()) / index.total[k] >= 0.8:
                     want.add((d, item))
     got = contamination.contaminated(docs, bench).collect()
