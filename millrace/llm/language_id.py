@@ -94,10 +94,9 @@ def text_evidence(texts: list[bytes], table: np.ndarray) -> np.ndarray:
         lettered = np.array([LETTER.search(t) is not None for t in chunk])
         some = np.flatnonzero((n > 0) & lettered)
         if len(some):
-            starts = starts_of(n)
+            starts = starts_of(n)[some]
             for l in range(table.shape[1]):
-                sums = np.add.reduceat(table[:, l][g], np.minimum(starts, len(g) - 1))
-                out[at + some, l] = sums[some] * np.minimum(1, EVIDENCE / n[some])
+                out[at + some, l] = np.add.reduceat(table[:, l][g], starts) * np.minimum(1, EVIDENCE / n[some])
         at += len(chunk)
     return out
 
