@@ -57,31 +57,27 @@ def windows(texts: list[bytes]):
     return ends - size, size, out
 
 
-def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, share) of the distinct windows of each text, in order of the texts."""
-    rows, ids, share = [], [], []
+def bags(texts: list[bytes]):
+    """Chunk by chunk (text, bucket, share) of the distinct windows of each text, in order of the texts."""
     at = 0
     for chunk in in_chunks(texts, CHUNK):
-        starts, size, found = windows(chunk)
+        _, size, found = windows(chunk)
         doc = np.repeat(np.arange(len(chunk), dtype=np.int64), size)
         key = np.concatenate([doc[: len(h)][ok] << BUCKET_BITS | h[ok] for h, ok in found])
         key, count = np.unique(key, return_counts=True)
         r = key >> BUCKET_BITS
         n = np.bincount(r, count, len(chunk))
-        rows.append(r + at)
-        ids.append(key & (1 << BUCKET_BITS) - 1)
-        share.append((count / n[r]).astype(np.float32))
+        yield r + at, key & (1 << BUCKET_BITS) - 1, count / n[r]
         at += len(chunk)
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return cat(rows, np.int64), cat(ids, np.int64), cat(share, np.float32)
 
 
-def informative(rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
+def informative(texts: list[bytes], y: np.ndarray) -> np.ndarray:
     """Which buckets stand in LEAST_TEXTS texts or more and depend on the label by a chi-square of LEAST_CHI2 or more."""
-    n, size = len(y), 1 << BUCKET_BITS
-    has = np.bincount(ids, minlength=size).astype(float)
-    both = np.bincount(ids, y[rows], size)
-    p = y.mean()
+    n, size, p = len(y), 1 << BUCKET_BITS, y.mean()
+    has, both = np.zeros(size), np.zeros(size)
+    for rows, ids, _ in bags(texts):
+        has += np.bincount(ids, minlength=size)
+        both += np.bincount(ids, y[rows], size)
     chi2 = (both - has * p) ** 2 / np.maximum(has * p * (1 - p) * (1 - has / (n + 1)), 1e-9)
     return (has >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
 
@@ -89,19 +85,19 @@ def informative(rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 30, rate: float = 0.05, seed: int = 7):
     """(score of each bucket, bias): embeddings and softmax by Adam on the joint loss.
 
-    Rows of uninformative buckets stay zero vectors, so that noise in the labels isn't learned by heart.
-    The loss's gradient in a row is one number times the softmax's weight difference, so a step
-    scatters numbers, not vectors.
+    Rows of uninformative buckets stay zero vectors, so that noise in the labels isn't learned by heart,
+    and only the others' windows are held in memory. The loss's gradient in a row is one number times
+    the softmax's weight difference, so a step scatters numbers, not vectors.
     """
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     y = np.asarray(labels, np.float64)
-    rows, ids, share = bags(texts)
-    keep = informative(rows, ids, y)[ids] if len(set(y.tolist())) == 2 else np.zeros(len(ids), bool)
-    if not keep.any():
+    use = informative(texts, y) if len(set(y.tolist())) == 2 else np.zeros(size, bool)
+    if not use.any():
         p = min(max(float(y.mean()), 0.01), 0.49) if len(y) else 0.25
         return np.zeros(size, np.float32), float(np.log(p / (1 - p)))
-    rows, ids, share = rows[keep], ids[keep], share[keep].astype(np.float64) * SCALE
+    kept = [(r[use[f]], f[use[f]], x[use[f]] * SCALE) for r, f, x in bags(texts)]
+    rows, ids, share = (np.concatenate(c) for c in zip(*kept, strict=True))
     seen, ids = np.unique(ids, return_inverse=True)
     table, weight, bias = rng.normal(0, 0.1, (len(seen), DIMS)), rng.normal(0, 1, (DIMS, 2)), np.zeros(2)
     moments = [np.zeros(x.shape) for x in (table[:, 0], table[:, 0], weight, weight, bias, bias)]
