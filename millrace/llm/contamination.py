@@ -1,17 +1,18 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and an exact check.
 
 Windows of a document as long as an item, in words, get a 64-bit SimHash of their five-word shingles,
-weighted by how rare a shingle is among the items. Item fingerprints are indexed by four 16-bit
-blocks: of fingerprints within RADIUS of each other one block at least differs in RADIUS // 4 bits
-or fewer, so a table from every block value to the items within that many bits finds all items within
-the radius. Candidates are verified exactly: the weight of the item's shingles (repeats
-counted) that the window holds, over the weight of all of them, must reach LEAST.
+weighted by how rare a shingle is among the items. The fingerprints of the items of each length are
+indexed by eight 8-bit blocks: of fingerprints within RADIUS of each other one block at least differs in
+RADIUS // 8 bits or fewer, so a table from every block value to the items within that many bits finds
+all items within the radius. Candidates are verified exactly: the weight of the item's shingles
+(repeats counted) that the window holds, over the weight of all of them, must reach LEAST.
 
 A window without any shingle of an item has similarity zero to it, so only windows that some shared
 shingle lies in are fingerprinted; places of shared shingles come from a pass over the whole text.
 
 Bounds: the benchmark is broadcast after a check of its size (MOST_BYTES; beyond it, items are handled
-in blocks one after the other). Texts are handled one at a time.
+in blocks one after the other); its tables take 256 bytes an item. Texts are handled one at a time, and
+windows are compared with items PAIRS at a time.
 
 Defined results: items of fewer than five words have one shingle, the whole item, and empty items match
 nothing; null and empty texts: no rows; repeated items: a row each; repeated rows of documents:
@@ -20,6 +21,7 @@ repeated rows; ties between windows: the leftmost; empty tables: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, bound_batches, raw_texts, written
 
 WIDTH, LEAST, RADIUS = 5, 0.8, 28
-MOST_BYTES = 8 << 20
+MOST_BYTES, PAIRS = 2 << 20, 1 << 22
 BITS = np.arange(64, dtype=np.uint64)
 ONE = np.uint64(1)
 
@@ -71,15 +73,13 @@ class Index:
         for i, x in enumerate(self.counts):
             for s in x:
                 self.holders[s].append(i)
-        values = np.arange(1 << 16, dtype=np.uint32)
-        weight = np.zeros(1 << 16, np.uint8)
-        for b in range(16):
-            weight += ((values >> b) & 1).astype(np.uint8)
-        # near[block][value]: packed set of the items whose block is within RADIUS // 4 bits of value
-        self.near = []
-        for b in range(4):
-            block = ((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-            self.near.append(np.packbits(weight[values[:, None] ^ block[None, :]] <= RADIUS // 4, axis=1) if n else np.zeros((1 << 16, 0), np.uint8))
+        values = np.arange(256, dtype=np.uint8)
+        # by length: the items, and near[block, value], the packed set of those whose block is within RADIUS // 8 bits of value
+        self.near = {}
+        for size in np.unique(self.size):
+            own = np.flatnonzero(self.size == size)
+            blocks = self.prints[own].view(np.uint8).reshape(-1, 8).T
+            self.near[int(size)] = own, np.packbits(np.bitwise_count(values[:, None] ^ blocks[:, None, :]) <= RADIUS // 8, axis=2)
 
     def number(self, shingle) -> int:
         x = 0
@@ -91,13 +91,16 @@ class Index:
         votes = (self.weight[shingles][:, None] * self.sign[shingles]).sum(0)
         return int(((votes > 0).astype(np.uint64) << BITS).sum())
 
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """(prints x items) true where a block is near and the whole is within RADIUS."""
-        some = np.zeros((len(prints), self.near[0].shape[1]), np.uint8)
-        for b in range(4):
-            some |= self.near[b][((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)]
-        found = np.unpackbits(some, axis=1, count=len(self.prints)).astype(bool)
-        return found & (np.bitwise_count(prints[:, None] ^ self.prints[None, :]) <= RADIUS)
+    def candidates(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+        """(print, item) of all prints and items of this length that are within RADIUS, told by a block that is near."""
+        own, near = self.near[size]
+        step = max(1, PAIRS // len(own))
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            sets = np.bitwise_or.reduce([near[b, v] for b, v in enumerate(some.view(np.uint8).reshape(-1, 8).T)])
+            w, i = np.nonzero(np.unpackbits(sets, axis=1, count=len(own)))
+            close = np.bitwise_count(some[w] ^ self.prints[own[i]]) <= RADIUS
+            yield from zip((w[close] + at).tolist(), own[i[close]].tolist(), strict=True)
 
     def places(self, words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, shingle) of the items' shingles of k words in a text."""
@@ -134,14 +137,12 @@ class Index:
             starts = np.unique(np.clip(np.concatenate([at, at - room]), 0, max(0, n - size)))
             low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + room, "right")
             prints = np.array([self.fingerprint(code[a:b]) if b > a else 0 for a, b in zip(low, high, strict=True)], np.uint64)
-            found = self.candidates(prints)
-            found[high <= low] = False
-            found &= (self.size == size)[None, :]
-            for w, i in np.argwhere(found).tolist():
-                inside = code[low[w] : high[w]]
-                have: dict[int, int] = {}
-                for s in inside.tolist():
-                    have[s] = have.get(s, 0) + 1
+            last, have = -1, {}
+            for w, i in self.candidates(prints, size):
+                if w != last:
+                    last, have = w, {}
+                    for s in code[low[w] : high[w]].tolist():
+                        have[s] = have.get(s, 0) + 1
                 got = sum(min(c, have.get(s, 0)) * self.weight[s] for s, c in self.counts[i].items())
                 key = (got / self.total[i], -int(starts[w]))
                 if key[0] >= LEAST - 1e-12 and key > best.get(i, (0.0, 1)):
