@@ -60,16 +60,16 @@ def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row."""
+    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long) for each row."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
 
     def run(batches):
         for b in batches:
             fp = np.array([majority(shingle_hashes(t, width)) for t in raw_texts(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _spanning(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable)."""
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable), text_key."""
     fp = written(fingerprints(docs, width), "fingerprints")
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), radius), "a", "b")
@@ -231,14 +231,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     found = written(linked.join(heads, "root").select(F.col("fp").alias("f"), "head"), "classes")
     named = classes.join(found, classes.fp == found.f, "left").select(F.col("fp").alias("f"), F.coalesce("head", "least").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; columns unchanged."""
+    """The rows of docs without those whose component has a smaller doc_id; columns unchanged.
+
+    Rows that repeat the least id stay; a null id goes where its component has another. Of rows that share
+    an id only, each is judged by its own text.
+    """
     found = near_duplicates(docs, width, radius)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    gone = written(gone, "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ string occurs twice in a run.
 4. In each interval the string that starts first stays; the others' bytes are removed.
 
 Bounds: tasks hold one bucket of runs, of dictionary entries or of documents; buckets follow the input's
-splits and the shuffle partitions. Equal runs are reduced to one before they are dealt out, so a passage
+splits and the shuffle partitions. Texts are hashed in pieces of CHUNK bytes, whatever their length. Equal runs are reduced to one before they are dealt out, so a passage
 that stands in a third of all documents costs a bucket one row for each batch of texts.
 
 Defined results: null text: empty; texts under WIDTH bytes: nothing removed; null ids stand after all
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,13 @@ def _first_of_equal(doc, crc, start, *same) -> tuple[np.ndarray, np.ndarray, np.
     return order, new, other
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(text, offset, bytes): long texts in pieces of CHUNK strings each, so that a run may be cut in two."""
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - WIDTH + 1), CHUNK):
+            yield i, at, t[at : at + CHUNK + WIDTH - 1]
+
+
 def _find_runs(n: int, schema: pa.Schema):
     def run(batches):
         held, rows = [], 0
@@ -159,13 +167,11 @@ def _find_runs(n: int, schema: pa.Schema):
             ids = _ids(b.column(0))
             texts = raw_texts(b.column(1))
             crcs = np.array([zlib.crc32(t) for t in texts], np.uint32)
-            at = 0
-            for chunk in in_chunks(texts, CHUNK):
-                t, start, length, low, high = text_runs(chunk)
-                t = t + at
-                held.append((ids[t], crcs[t], start, length, low, high))
+            for chunk in in_chunks(_pieces(texts), CHUNK, lambda x: len(x[2])):
+                t, start, length, low, high = text_runs([x[2] for x in chunk])
+                of, offset = (np.array([x[i] for x in chunk], np.int64)[t] for i in (0, 1))
+                held.append((ids[of], crcs[of], start + offset, length, low, high))
                 rows += len(t)
-                at += len(chunk)
             if rows >= FLUSH:
                 yield from flush()
                 held, rows = [], 0

@@ -63,6 +63,29 @@ def test_suffix_dedup_matches_brute_force(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_long_texts_in_pieces():
+    rng = random.Random(4)
+    t = bytes(rng.choice(b"ab ") for _ in range(3 * suffix_dedup.CHUNK + 50))
+    cut = list(suffix_dedup._pieces([b"", t, b"short"]))
+    assert [x for x in cut if x[0] != 1] == [(0, 0, b""), (2, 0, b"short")]
+    starts = []
+    for _, at, x in cut[1:-1]:
+        _, start, length, *_ = suffix_dedup.text_runs([x])
+        starts.append(np.concatenate([np.arange(a, a + n) for a, n in zip(start + at, length, strict=True)]))
+    # every string of WIDTH bytes stands in one run
+    assert np.array_equal(np.concatenate(starts), np.arange(len(t) - suffix_dedup.WIDTH + 1))
+
+
+def test_suffix_dedup_of_cut_texts(docs, monkeypatch):
+    want = sorted((str(r.doc_id), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    with monkeypatch.context() as m:
+        # the patched function goes to the workers with the closure that names it
+        whole = suffix_dedup._pieces
+        m.setattr(suffix_dedup, "_pieces", lambda texts: ((i, o + k, p[k : k + 50 + suffix_dedup.WIDTH - 1]) for i, o, p in whole(texts) for k in range(0, max(1, len(p) - suffix_dedup.WIDTH + 1), 50)))
+        got = sorted((str(r.doc_id), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == want
+
+
 def _fingerprint(b):
     words = b.lower().split()
     sh = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -83,6 +106,11 @@ def test_simhash_matches_brute_force(docs, empty):
     got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
     assert got == want
     assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.one_of_each(docs)
+    ids = {str(r[0]) for r, c in zip(rows, component, strict=True) if r[0] == least[c]}
+    assert kept.columns == docs.columns and {str(r.doc_id) for r in kept.collect()} == ids
+    # id 3 stands for two texts, neither of them a copy
+    assert kept.where("doc_id = 3").count() == 2
 
 
 def test_bit_sliced_comparison_over_tiles(spark, monkeypatch):
@@ -145,6 +173,10 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     items = [(1, passage), (2, "never seen anywhere at all in these texts"), (3, None), (4, ""), (5, " ".join(t[14].split()[100:160])), (5, passage)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     index = contamination.Index([i for i, x in items if x], [x.encode() for _, x in items if x])
+    for size, (own, _) in index.near.items():
+        prints = np.random.default_rng(size).integers(0, 2**64, 500, dtype=np.uint64) & index.prints[own[0]]
+        near = {(w, i) for w in range(500) for i in own.tolist() if int(prints[w] ^ index.prints[i]).bit_count() <= contamination.RADIUS}
+        assert set(index.candidates(prints, size)) == near
     want = set()
     for d, b in rows_of(docs):
         words = b.lower().split()
