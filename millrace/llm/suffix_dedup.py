@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, bound_batches, in_chunks, parts, raw_texts, written
 
 WIDTH, GRAM = 100, 32
-CHUNK, FLUSH, PLACE = 1 << 19, 1 << 20, (1 << 26) - 1
+CHUNK, FLUSH, PLACE = 1 << 19, 1 << 19, (1 << 26) - 1
 LAST = np.iinfo(np.int64).max  # what null ids count as
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -380,7 +380,7 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Da
     """(documents with their bucket `home`, packets of covered stretches by bucket)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    n = 2 * parts(docs)
+    n = 3 * parts(docs)
     schema, entry_schema = arrow_schema(spark, PACKET), arrow_schema(spark, ENTRIES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *carry)
