@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that long texts cannot pile up.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: A key with a HOT-th of all rows or more is hot, so there are HOT of them at most.
+HOT = 4096
 
 
 _shipped: set[str] = set()
@@ -68,6 +70,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, on: Column, count: str, total: int) -> DataFrame:
+    """Inner join of rows with table, whose keys are unique and whose column count says how many rows have the key.
+
+    The counts sum to total at most, so HOT keys at most hold a HOT-th of it: those are broadcast, and
+    their rows stay where they are. The others' rows are shuffled.
+    """
+    hot = F.col(count) * HOT >= total
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(few, on, "left_anti").join(table.where(~hot), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def parts(df: DataFrame) -> int:
     """How many partitions to deal out to: the session's setting, or the input's splits if more."""
     set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,7 @@ column is left as soon as all of its distances exceed the radius.
 
 Skew: a key with more than TILE fingerprints is cut into tiles by hash, and each pair of tiles is
 a task's work of its own; nothing is dropped. A tile pair reports a spanning forest of its links.
+Rows get their component by a join that broadcasts the few fingerprints of many rows.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than
 a shingle: the whole sequence is the shingle; repeated rows: repeated results, null ids: never the
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts, raw_texts, written
+from .common import bound_batches, join_skewed, parts, raw_texts, written
 from .components import components
 
 SEED, RADIUS, TILE, ROWS = 42, 2, 1024, 1 << 16
@@ -224,14 +225,14 @@ def _spanning(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable), text_key."""
     fp = written(fingerprints(docs, width), "fingerprints")
-    classes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), radius), "a", "b")
-    linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least")
+    classes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumnRenamed("fp", "f"), "classes")
+    roots = components(links(classes.select(F.col("f").alias("fp")), radius), "a", "b")
+    linked = classes.join(roots, F.col("f") == F.col("node")).select("f", "root", "least")
     heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    found = written(linked.join(heads, "root").select(F.col("fp").alias("f"), "head"), "classes")
-    named = classes.join(found, classes.fp == found.f, "left").select(F.col("fp").alias("f"), F.coalesce("head", "least").alias("component_id"))
+    found = written(linked.join(heads, "root").select(F.col("f").alias("linked"), "head"), "heads")
+    named = classes.join(found, F.col("f") == F.col("linked"), "left").select("f", "n", F.coalesce("head", "least").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fp.join(named, F.col("fp") == F.col("f")).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
+    return join_skewed(fp, named, F.col("fp") == F.col("f"), "n", fp.count()).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
