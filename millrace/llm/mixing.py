@@ -10,8 +10,8 @@ as the documents.
 Rates become whole copies by rounding running totals: sizes in descending order, each (source, size)
 group takes the difference of the rounded running copies, so a source's words miss its target by less
 than its largest document. Within a group, whose documents weigh the same, the copies over the common
-number go to the lowest hashes; large groups are cut into blocks by hash for that, so that a group
-with a third of all rows is no task's own.
+number go to the lowest hashes; large groups are joined by broadcast and cut into blocks by hash for
+that, so that a group with a third of all rows is no task's own.
 
 Bounds: the histogram has at most as many rows per source as there are sizes; the table of sources is
 put in order in one task.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, join_skewed, written
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 STEPS, CLOSE, BLOCK = 60, 1e-9, 2000
@@ -112,10 +112,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     groups = groups.select(
         F.col("s").alias("g_source"), F.col("size").alias("g_size"), "source_size", "target", "rate",
         F.floor(most / F.col("k")).alias("each"), (most % F.col("k")).alias("extra"),
-        F.ceil(F.col("k") / BLOCK).alias("blocks"),
+        F.ceil(F.col("k") / BLOCK).alias("blocks"), "k",
     )
     groups = written(groups, "groups")
-    placed = rows.join(groups, rows["source"].eqNullSafe(groups["g_source"]) & (rows["size"] == groups["g_size"]))
+    placed = join_skewed(rows, groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")), "k", rows.count())
     placed = placed.withColumn("block", F.pmod("h", "blocks"))
     key = ["g_source", "g_size", "block"]
     counts = placed.groupBy(*key).agg(F.count("*").alias("here"))
