@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, contamination, language_id, media, mixing, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from millrace.llm import chat_format, common, contamination, language_id, media, mixing, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from tests.oracle import SF, compare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, home int"
@@ -137,6 +137,16 @@ def test_bit_sliced_comparison_over_tiles(spark, monkeypatch):
     assert all(find(int(v[a])) == find(int(v[b])) for a, b in want)
 
 
+@pytest.mark.parametrize("hot", [2, 8, 4096])
+def test_skewed_join_of_hot_and_rare_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    keys = ["a"] * 12 + ["b"] * 3 + ["c", None, None]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id int, key string")
+    table = spark.createDataFrame([(k, keys.count(k)) for k in dict.fromkeys(keys)], "k string, n int")
+    got = common.join_skewed(rows, table, F.col("key").eqNullSafe(F.col("k")), "n", len(keys)).collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, keys.count(k)) for i, k in enumerate(keys)]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count() and mixing.mix(empty).count() == 0
