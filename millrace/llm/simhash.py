@@ -10,6 +10,12 @@ Skew: a key with more than TILE fingerprints is cut into tiles by hash, and each
 a task's work of its own; nothing is dropped. A tile pair reports a spanning forest of its links.
 Rows get their component by a join that broadcasts the few fingerprints of many rows.
 
+With a similarity (one_of_each), linked texts also have that Jaccard similarity of shingle sets. The
+radius this takes is too wide for bit blocks to prune (at 18, 190 tables of 6 bits), so the keys are a
+set's SAMPLE least shingle hashes: two sets of similarity s share none of them with probability
+(1 - s) ** SAMPLE. Sets of a key within the radius, and of sizes that allow the similarity, are
+candidates, compared bit-sliced; all sets of a candidate component are then compared exactly.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than
 a shingle: the whole sequence is the shingle; repeated rows: repeated results, null ids: never the
 least unless all are null; empty table: no rows; other columns are ignored.
@@ -29,6 +35,7 @@ from .common import bound_batches, join_skewed, parts, raw_texts, written
 from .components import components
 
 SEED, RADIUS, TILE, ROWS = 42, 2, 1024, 1 << 16
+SAMPLE = 8
 BITS = np.arange(64, dtype=np.uint64)
 ONE = np.uint64(1)
 
@@ -137,8 +144,17 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return np.zeros_like(counter[0]) | above
 
 
-def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components which within() finds."""
+def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0) -> list[tuple[int, int]]:
+    """Links (i, j) that span the components which within() finds, of pairs whose sizes allow the similarity."""
+    at, to = within(fps, low, high, radius)
+    if sizes is not None:
+        fit = np.minimum(sizes[at], sizes[to]) / np.maximum(sizes[at], sizes[to]) >= similarity
+        at, to = at[fit], to[fit]
+    return _tree(at, to)
+
+
+def _tree(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links (at, to) that join two components."""
     root: dict[int, int] = {}
 
     def find(x):
@@ -147,7 +163,7 @@ def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> l
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in within(fps, low, high, radius)), strict=True):
+    for i, j in zip(at.tolist(), to.tolist(), strict=True):
         a, b = find(i), find(j)
         if a != b:
             root[max(a, b)] = min(a, b)
@@ -169,15 +185,25 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) fingerprints that span the link graph of the distinct fps (column fp)."""
-    spark, n = fps.sparkSession, parts(fps)
     masks = [_signed(m) for m in block_masks(radius)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    return _compared(keyed, parts(fps), radius, ROWS)
+
+
+def set_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b) sets (node, fp, size, sample) that span the candidates for the similarity."""
+    keyed = sets.select("fp", F.lit(0).alias("t"), F.explode("sample").alias("key"), "node", "size")
+    return _compared(keyed, parts(sets), radius, ROWS >> 4, ("node", "size"), similarity)
+
+
+def _compared(keyed: DataFrame, n: int, radius: int, most: int, extra: tuple = (), similarity: float = 0) -> DataFrame:
+    """(a, b) links of the rows (t, key, fp) that share a key; with node and size, between nodes."""
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     # inner join: keys of one fingerprint have nothing to compare
-    dealt = keyed.join(sizes, ["t", "key"]).select("t", "key", "fp", tiles.alias("k"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("own"))
+    dealt = keyed.join(sizes, ["t", "key"]).select("t", "key", "fp", tiles.alias("k"), F.pmod(F.xxhash64(extra[0] if extra else "fp"), tiles).cast("int").alias("own"), *extra)
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pairs = pairs.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    pairs = pairs.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", *extra)
     order = ["t", "key", "i", "j", "own"]
     placed = pairs.repartition(n, *order[:4]).sortWithinPartitions(*order)
 
@@ -187,15 +213,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             if b.num_rows:
                 held.append([np.asarray(c) for c in b.columns])
                 rows += b.num_rows
-            if rows >= ROWS:
+            if rows >= most:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
                 ends = _borders(cols)
                 if len(ends):  # the last group may go on in the next batch
-                    yield _spanning([c[: ends[-1]] for c in cols], radius)
+                    yield _spanning([c[: ends[-1]] for c in cols], radius, similarity)
                     cols = [c[ends[-1] :] for c in cols]
                 held, rows = [cols], len(cols[0])
         if rows:
-            yield _spanning([np.concatenate(x) for x in zip(*held, strict=True)], radius)
+            yield _spanning([np.concatenate(x) for x in zip(*held, strict=True)], radius, similarity)
 
     return placed.mapInArrow(compare, "a long, b long")
 
@@ -205,9 +231,9 @@ def _borders(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
 
 
-def _spanning(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
-    """Spanning links of whole groups of rows (t, key, i, j, own, fp) that are sorted."""
-    _, _, i, j, own, fp = cols
+def _spanning(cols: list[np.ndarray], radius: int, similarity: float = 0) -> pa.RecordBatch:
+    """Spanning links of whole groups of rows (t, key, i, j, own, fp and perhaps node, size) that are sorted."""
+    _, _, i, j, own, fp, *more = cols
     size = len(fp)
     start = np.concatenate([[0], _borders(cols)])
     end = np.repeat(np.append(start[1:], size), np.diff(np.append(start, size)))
@@ -218,8 +244,109 @@ def _spanning(cols: list[np.ndarray], radius: int) -> pa.RecordBatch:
     low = np.where(i == j, here + 1, second)
     high = np.where((i == j) | (own == i), end, 0)
     fps = fp.view(np.uint64)
-    at = np.array(forest(fps, low, high, radius), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], ["a", "b"])
+    at = np.array(forest(fps, low, high, radius, more[1] if more else None, similarity), np.int64).reshape(-1, 2)
+    node = more[0] if more else fp
+    return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, node (a hash of the text's set of shingles), fp (where each shingle votes once), size, sample."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in raw_texts(b.column(1))]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            fp = np.array([majority(s) for s in sets], np.uint64)
+            size = pa.array([len(s) for s in sets], pa.int32())
+            sample = pa.array([s[:SAMPLE].view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), size, sample], ["doc_id", "text_key", "node", "fp", "size", "sample"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, size int, sample array<long>")
+
+
+def exact(sets: list[np.ndarray], cut: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that span the pairs of sets whose Jaccard similarity suffices; with a cut, pairs across it alone."""
+    count = np.array([len(s) for s in sets])
+    start = np.append(0, np.cumsum(count))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.repeat(np.arange(len(sets)), count)[np.argsort(token, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(token)))
+    at, to = [], []
+    for x in range(cut or len(sets)):
+        t = token[start[x] : start[x + 1]]
+        n = first[t + 1] - first[t]
+        both = np.bincount(held[np.repeat(first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        y = np.flatnonzero(both / (count[x] + count - both) >= similarity)
+        y = y[y >= (cut or x + 1)]
+        at.append(np.full(len(y), x))
+        to.append(y)
+        if len(y) == len(sets) - 1 - x == len(sets) - 1:
+            break  # the first is similar to all others
+    return _tree(np.concatenate(at), np.concatenate(to))
+
+
+def similar_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) sets that span the similar pairs of each candidate component.
+
+    members: node, root and the row (id, key) that a set's text is taken from. A component of more than
+    TILE sets is cut into tiles, and each pair of tiles is a task's work of its own.
+    """
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    sized = members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root")
+    sized = sized.select("root", "node", "id", "key", tiles.alias("k"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
+    found = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
+    found = found.join(sized, found["doc_id"].eqNullSafe(sized["id"]) & (found["text_key"] == sized["key"])).select("root", "node", "k", "own", "text").dropDuplicates(["node"])
+    pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    order = ["root", "i", "j"]
+    placed = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+    placed = placed.repartition(parts(docs), *order).sortWithinPartitions(*order, "own")
+
+    def links_of(key, rows):
+        cut = 0 if key[1] == key[2] else sum(own == key[1] for own, _, _ in rows)
+        if len(rows) < 2 or key[1] != key[2] and cut in (0, len(rows)):
+            return []
+        return [(rows[x][1], rows[y][1]) for x, y in exact([s for _, _, s in rows], cut, similarity)]
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out, texts = [], raw_texts(b.column(5))
+            for *k, own, node, text in zip(*(c.to_pylist() for c in b.columns[:5]), texts, strict=True):
+                if k != key:
+                    out += links_of(key, held) if held else []
+                    key, held = k, []
+                held.append((own, node, np.unique(shingle_hashes(text, width))))
+            yield _pairs(out)
+        yield _pairs(links_of(key, held) if held else [])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def near_copies(docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """doc_id, component_id (least doc_id reachable over texts of the similarity), text_key."""
+    rows = written(shingle_sets(docs, width), "shingles")
+    row = F.min(F.struct("doc_id", "text_key"))
+    sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample")], row.alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = written(sets, "sets")
+    near = components(set_links(sets, radius, similarity), "a", "b").withColumnRenamed("node", "f")
+    members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "root", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("key")), "members")
+    roots = components(written(similar_links(docs, members, width, similarity), "similar"), "a", "b")
+    named = _named(sets.select(F.col("node").alias("f"), "least", "n"), roots)
+    return join_skewed(rows, named, F.col("node") == F.col("f"), "n", rows.count()).select("doc_id", "component_id", "text_key")
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """f, n, component_id of classes (f, least, n), the least of all that share a root (node, root)."""
+    linked = classes.join(roots, F.col("f") == F.col("node")).select("f", "root", "least")
+    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
+    found = written(linked.join(heads, "root").select(F.col("f").alias("linked"), "head"), "heads")
+    return classes.join(found, F.col("f") == F.col("linked"), "left").select("f", "n", F.coalesce("head", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -227,21 +354,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     fp = written(fingerprints(docs, width), "fingerprints")
     classes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumnRenamed("fp", "f"), "classes")
     roots = components(links(classes.select(F.col("f").alias("fp")), radius), "a", "b")
-    linked = classes.join(roots, F.col("f") == F.col("node")).select("f", "root", "least")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    found = written(linked.join(heads, "root").select(F.col("f").alias("linked"), "head"), "heads")
-    named = classes.join(found, F.col("f") == F.col("linked"), "left").select("f", "n", F.coalesce("head", "least").alias("component_id"))
+    named = _named(classes, roots)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return join_skewed(fp, named, F.col("fp") == F.col("f"), "n", fp.count()).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float = 0) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id; columns unchanged.
 
     Rows that repeat the least id stay; a null id goes where its component has another. Of rows that share
-    an id only, each is judged by its own text.
+    an id only, each is judged by its own text. With a similarity, linked texts have that Jaccard similarity too.
     """
-    found = near_duplicates(docs, width, radius)
+    found = near_copies(docs, width, radius, similarity) if similarity else near_duplicates(docs, width, radius)
     gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
     gone = written(gone, "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")

@@ -337,3 +337,38 @@ def test_pipeline(spark):
     copies = docs.groupBy("text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     texts = docs.join(copies, "text").where("doc_id <> first").select("doc_id")
     assert out.join(texts, "doc_id").count() == 0
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_near_copies_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows, n = [], 0
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 150, 600]))]
+        for share in (0, 0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.1):
+            rows.append((n, " ".join(rng.choice(words) if rng.random() < share else w for w in base)))
+            n += 1
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    least = list(range(n))
+    for _ in range(n):
+        new = [min([least[j] for j in range(n) if _jaccard(sets[i], sets[j]) >= 0.8]) for i in range(n)]
+        if new == least:
+            break
+        least = new
+    # texts beyond radius 2 are found, and none below the similarity is
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 18, 0.8).collect()}
+    assert [found[i] for i in range(n)] == least and 12 < len(set(least)) < n
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two = docs.where("doc_id IN (2, 56)").select(*corpus_pipeline.COLUMNS)
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, two, "").collect()] == [2]
