@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, join_skewed, parts, raw_texts, written
@@ -67,6 +67,11 @@ def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
     return int(((counts * 2 > len(hashes)).astype(np.uint64) << BITS).sum())
 
 
+def _least() -> Column:
+    """The row that stands for a group: of the least id, null ids last, then of the least text_key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long) for each row."""
     bound_batches(docs.sparkSession)
@@ -329,46 +334,59 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_copies(docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
-    """doc_id, component_id (least doc_id reachable over texts of the similarity), text_key."""
+    """doc_id, component_id (least doc_id reachable over texts of the similarity), text_key, head_key (of the least row)."""
     rows = written(shingle_sets(docs, width), "shingles")
-    row = F.min(F.struct("doc_id", "text_key"))
-    sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample")], row.alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample")], _least(), F.count("*").alias("n"))
     sets = written(sets, "sets")
     near = components(set_links(sets, radius, similarity), "a", "b").withColumnRenamed("node", "f")
-    members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "root", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("key")), "members")
+    members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "root", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "members")
     roots = components(written(similar_links(docs, members, width, similarity), "similar"), "a", "b")
     named = _named(sets.select(F.col("node").alias("f"), "least", "n"), roots)
-    return join_skewed(rows, named, F.col("node") == F.col("f"), "n", rows.count()).select("doc_id", "component_id", "text_key")
+    return join_skewed(rows, named, F.col("node") == F.col("f"), "n", rows.count()).select("doc_id", "component_id", "text_key", "head_key")
 
 
 def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """f, n, component_id of classes (f, least, n), the least of all that share a root (node, root)."""
+    """f, n, component_id, head_key of classes (f, least, n): the least row of all that share a root (node, root)."""
     linked = classes.join(roots, F.col("f") == F.col("node")).select("f", "root", "least")
     heads = linked.groupBy("root").agg(F.min("least").alias("head"))
     found = written(linked.join(heads, "root").select(F.col("f").alias("linked"), "head"), "heads")
-    return classes.join(found, F.col("f") == F.col("linked"), "left").select("f", "n", F.coalesce("head", "least").alias("component_id"))
+    row = classes.join(found, F.col("f") == F.col("linked"), "left").select("f", "n", F.coalesce("head", "least").alias("row"))
+    return row.select("f", "n", F.col("row.doc_id").alias("component_id"), F.col("row.text_key").alias("head_key"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable), text_key."""
+    return _near(docs, width, radius).drop("head_key")
+
+
+def _near(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """near_duplicates() with head_key, the text_key of the component's least row."""
     fp = written(fingerprints(docs, width), "fingerprints")
-    classes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumnRenamed("fp", "f"), "classes")
+    classes = written(fp.groupBy("fp").agg(_least(), F.count("*").alias("n")).withColumnRenamed("fp", "f"), "classes")
     roots = components(links(classes.select(F.col("f").alias("fp")), radius), "a", "b")
     named = _named(classes, roots)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return join_skewed(fp, named, F.col("fp") == F.col("f"), "n", fp.count()).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key")
+    return join_skewed(fp, named, F.col("fp") == F.col("f"), "n", fp.count()).select("doc_id", digits.alias("fingerprint"), "component_id", "text_key", "head_key")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarity: float = 0) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; columns unchanged.
+    """One row of each component, that of the least doc_id; columns unchanged.
 
-    Rows that repeat the least id stay; a null id goes where its component has another. Of rows that share
-    an id only, each is judged by its own text. With a similarity, linked texts have that Jaccard similarity too.
+    A null id goes where its component has another. Of rows that share the least id the one of the least
+    text_key stays, and of those equal in both the least by all columns, which must be orderable then. Of
+    rows that share an id only, each is judged by its own text. With a similarity, linked texts have that
+    Jaccard similarity too.
     """
-    found = near_copies(docs, width, radius, similarity) if similarity else near_duplicates(docs, width, radius)
-    gone = found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+    found = near_copies(docs, width, radius, similarity) if similarity else _near(docs, width, radius)
+    head = F.expr("doc_id <=> component_id AND text_key = head_key")
+    seen = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), head.alias("head")).agg(F.count("*").alias("n"))
+    seen = written(seen.where("NOT head OR n > 1"), "seen")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    again = seen.where("head")
+    if again.isEmpty():
+        return docs.join(seen, same, "left_anti")
+    one = docs.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return docs.join(seen, same, "left_anti").unionByName(one.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

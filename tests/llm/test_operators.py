@@ -372,3 +372,14 @@ def test_pipeline_stage_drops_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     two = docs.where("doc_id IN (2, 56)").select(*corpus_pipeline.COLUMNS)
     assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, two, "").collect()] == [2]
+
+
+def test_one_row_of_each_component_stays(spark):
+    text, other = "some words that are all the same here", "quite another text of its own for this"
+    near = f"{text} {text}"  # more of the same shingles, and the same fingerprint or nearly so
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a"), (None, other, "b"), (None, other, "a"), (5, near * 9, "a"), (5, near * 9 + " ", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for more in ({}, {"width": 5, "radius": 18, "similarity": 0.8}):
+        kept = simhash.one_of_each(df, **more).collect()
+        assert {(r.doc_id, r.text, r.lang) for r in kept} >= {(1, text, "a"), (None, other, "a")}
+        assert [r.doc_id for r in kept if r.doc_id != 5].count(1) == 1 and len(kept) == len({r.text.strip() for r in kept})
