@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ..functions import udfs, vectors
-from ..operators import grouping, joins
+from ..operators import grouping, joins, search
 from ..session import load
 from ..sources import files
 from ..streaming import windows as st
@@ -98,6 +98,27 @@ def vec_topk(spark, d):
     return c.orderBy(F.desc("c"), "vec_id").limit(10).select("vec_id", F.round("c", 3).alias("cos"))
 
 
+BEST = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {f}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)
+  SELECT query_id, vec_id, round(s, 3) + 0.0 AS {c} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, vec_id) AS n FROM s) WHERE n <= 10"""
+
+
+def _best(spark, d, cosine: bool, name: str):
+    """The ten best rows of all for each row whose id is divisible by 50."""
+    e = load(spark, d, "embeddings")[0]
+    best = search.best_of_each(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10, cosine)
+    return best.select("query_id", "vec_id", (F.round("score", 3) + F.lit(0.0)).alias(name))
+
+
+@frame("vec_dot_all", BEST.format(f="list_inner_product", c="dot"))
+def vec_dot_all(spark, d):
+    return _best(spark, d, False, "dot")
+
+
+@frame("vec_topk_all", BEST.format(f="list_cosine_similarity", c="cos"))
+def vec_topk_all(spark, d):
+    return _best(spark, d, True, "cos")
+
+
 @frame("agg_approx")
 def agg_approx(spark, d):
     e = load(spark, d, "events")[0]

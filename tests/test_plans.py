@@ -1,5 +1,6 @@
 import pytest
 
+from millrace.operators import search
 from millrace.plans import registry
 from tests.oracle import SF, compare
 
@@ -24,3 +25,12 @@ def test_approximations_are_close(spark):
 def test_pushdown(spark):
     plan = registry.QUERIES["filter_project"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan and "l_returnflag" not in plan
+
+
+@pytest.mark.parametrize("name", ["vec_dot_all", "vec_topk_all"])
+def test_searches_take_every_query(spark, name, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES", 4)
+    monkeypatch.setattr(search, "ROWS", 7)
+    got, want = compare(spark, registry.QUERIES[name], registry.ORACLE[name])
+    ids = spark.sql(f"SELECT count(*) FROM parquet.`{SF}/embeddings.parquet` WHERE vec_id % 50 = 0").first()[0]
+    assert got == want and len(got[1]) == 10 * ids and ids > 1
