@@ -1,16 +1,21 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
-States are a role and whether the line begins a turn. A line is seen through its speaker marker, if
-any, and through line features (a question, a request, length). Viterbi finds the likeliest roles.
-
-A conversation of any length is handled: lines are cut into chunks by turn number, each chunk becomes one
+A row's text is one line or many, up to a whole raw transcript. Each line is an observation of its
+own: states are a role and whether the line begins a turn, and a line is seen through its speaker
+marker, if any, and through line features (a question, a request, length). Viterbi finds the
+likeliest roles and beginnings; where rows end is no evidence. The lines of a turn are joined again,
+within a row: a turn that goes on in the next row goes on there with begins = false and no head, so
+`rendered` in order of turn and line is the whole conversation.
+
+A conversation of any length is handled: rows are cut into chunks by turn number, the lines of each chunk become one
 max-plus matrix from entering to leaving state, and the matrices are combined FAN at a time up a tree;
 the states at the borders are then fixed from the top down, and each chunk is decoded between its
 own. No task ever holds more than a chunk or FAN matrices.
+A row is never cut, so a chunk is as large as the texts of its CHUNK turns.
 
 Defined results: null text: an empty line; null or negative turn: as turn 0, before it by number; null
 role: not used for decoding anyway; null conv_id: a conversation of its own; rows equal in conv_id,
-turn and text: one line; other rows of one turn: in order of their text; ties of paths: the least
+turn and text: one row; line breaks: \\n, \\r\\n or \\r, rendered as \\n; a marker goes where its line begins a turn; other rows of one turn: in order of their text; ties of paths: the least
 state; empty table: no rows; other columns are ignored.
 """
 
@@ -38,10 +43,12 @@ MARKER = re.compile(
 )
 SPEAKER = {m: i for i, r in enumerate(ROLES) for m in MARKERS[r]}
 STATES = len(ROLES) * 2  # role * 2 + (0: goes on, 1: begins)
+BREAK = re.compile(r"\r\n|[\r\n]")
 #: Probabilities that the next turn is of a role, given this turn's role.
 NEXT = np.array([[0.05, 0.85, 0.10], [0.02, 0.08, 0.90], [0.02, 0.90, 0.08]])
 FIRST = np.array([0.30, 0.60, 0.10])
-GO_ON, LOW = 0.15, -1e18
+#: Fixed value: the share of lines that go on with a turn, 8,566 of 13,578 in `conversations` at sf0.1.
+GO_ON, LOW = 0.63, -1e18
 
 
 def transitions() -> np.ndarray:
@@ -168,7 +175,10 @@ def _matrix_with_start(seen: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def recover_roles(lines: DataFrame) -> DataFrame:
-    """conv_id, turn, role, begins, text, rendered for lines (conv_id, turn, text) of transcripts."""
+    """conv_id, turn, line, role, begins, text, rendered for rows (conv_id, turn, text) of transcripts.
+
+    A row gives one result for each turn that its lines hold; line is the number of the result's first line in the row.
+    """
     spark = lines.sparkSession
     bound_batches(spark)
     n, conv = parts(lines), lines.schema["conv_id"].dataType.simpleString()
@@ -178,7 +188,7 @@ def recover_roles(lines: DataFrame) -> DataFrame:
     # chunks are numbered by turn, so a gap leaves numbers out; the tree takes what there is, in order
 
     def matrix(group):
-        seen = np.array([emissions(r["text"]) for r in group])
+        seen = np.array([emissions(x) for r in group for x in BREAK.split(r["text"])])
         return [{"conv": group[0]["conv"], "idx": group[0]["idx"], "m": _matrix_with_start(seen, trans).ravel().tolist()}]
 
     order = ["turn", "text"]
@@ -187,7 +197,8 @@ def recover_roles(lines: DataFrame) -> DataFrame:
     joined = rows.join(borders, rows["conv"].eqNullSafe(borders["c"]) & (rows["idx"] == borders["i"])).drop("c", "i")
 
     def decode(group):
-        seen = [emissions(r["text"]) for r in group]
+        lines = [BREAK.split(r["text"]) for r in group]
+        seen = [emissions(x) for row in lines for x in row]
         enter = group[0]["enter"]
         steps = [trans + e for e in seen]
         if enter == STATES:
@@ -195,14 +206,21 @@ def recover_roles(lines: DataFrame) -> DataFrame:
             start[1::2] = np.log(FIRST)
             steps[0] = np.tile(start + seen[0], (STATES, 1))
             enter = 0
-        out = []
-        for r, s in zip(group, best_path(steps, enter, group[0]["leave"]), strict=True):
-            role, begins, body = ROLES[s // 2], bool(s % 2), strip_marker(r["text"])
-            head = f"<|{role}|>\n" if begins else ""
-            out.append({"conv_id": r["conv"], "turn": r["turn"], "role": role, "begins": begins, "text": body, "rendered": f"{head}{body}\n"})
+        path, out = iter(best_path(steps, enter, group[0]["leave"])), []
+        for r, row in zip(group, lines, strict=True):
+            found = []
+            for k, line in enumerate(row):
+                state = next(path)
+                if state % 2 or not k:
+                    found.append((k, state, []))
+                found[-1][2].append(strip_marker(line) if state % 2 else line)
+            for k, state, body in found:
+                role, begins, body = ROLES[state // 2], bool(state % 2), "\n".join(body)
+                head = f"<|{role}|>\n" if begins else ""
+                out.append({"conv_id": r["conv"], "turn": r["turn"], "line": k, "role": role, "begins": begins, "text": body, "rendered": f"{head}{body}\n"})
         return out
 
-    return _by_group(joined, n, ["conv", "idx"], order, decode, f"conv_id {conv}, turn long, role string, begins boolean, text string, rendered string")
+    return _by_group(joined, n, ["conv", "idx"], order, decode, f"conv_id {conv}, turn long, line long, role string, begins boolean, text string, rendered string")
 
 
 def as_transcript(turns: DataFrame) -> DataFrame:
@@ -222,4 +240,4 @@ def as_transcript(turns: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = recover_roles(as_transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return out.select("conv_id", "turn", "role", "begins", F.length("text").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    return out.select("conv_id", "turn", "line", "role", "begins", F.length("text").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))

@@ -383,3 +383,37 @@ def test_one_row_of_each_component_stays(spark):
         kept = simhash.one_of_each(df, **more).collect()
         assert {(r.doc_id, r.text, r.lang) for r in kept} >= {(1, text, "a"), (None, other, "a")}
         assert [r.doc_id for r in kept if r.doc_id != 5].count(1) == 1 and len(kept) == len({r.text.strip() for r in kept})
+
+
+def test_chat_lines_of_a_row(spark):
+    raw = "User: hi there\r\nhow are you?\nAI: hello\n\nI am well: thank you\n[user] good"
+    rows = [(1, 0, raw), (2, 0, "System: be kind"), (2, 1, "Human: what is it?\nand why?"), (2, 2, "AI: one thing\nanother"), (3, None, raw)]
+    got = {}
+    for r in chat_format.recover_roles(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("turn", "line").collect():
+        got.setdefault(r.conv_id, []).append((r.line, r.role, r.begins, r.text, r.rendered))
+    turns = [(0, "user", "hi there\nhow are you?"), (2, "assistant", "hello\n\nI am well: thank you"), (5, "user", "good")]
+    assert got[1] == got[3] == [(k, role, True, text, f"<|{role}|>\n{text}\n") for k, role, text in turns]
+    assert [x[:4] for x in got[2]] == [(0, "system", True, "be kind"), (0, "user", True, "what is it?\nand why?"), (0, "assistant", True, "one thing\nanother")]
+
+
+def test_chat_lines_are_those_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "CHUNK", 4)
+    df = chat_format.as_transcript(spark.read.parquet(f"{SF}/conversations.parquet"))
+    given = {}
+    for r in df.collect():
+        given.setdefault(r.conv_id, []).append((r.turn, r.text))
+    for r in (found := chat_format.recover_roles(df).collect()):
+        assert r.rendered == (f"<|{r.role}|>\n" if r.begins else "") + r.text + "\n"
+    for conv, rows in given.items():
+        lines = [x for _, t in sorted(rows) for x in t.split("\n")]
+        got = sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.turn, r.line))
+        assert sum(r.text.count("\n") + 1 for r in got) == len(lines)
+        path = [chat_format.ROLES.index(r.role) * 2 + (r.begins and not k) for r in got for k in range(r.text.count("\n") + 1)]
+        seen, trans, start = [chat_format.emissions(x) for x in lines], chat_format.transitions(), np.full(chat_format.STATES, chat_format.LOW)
+        start[1::2] = np.log(chat_format.FIRST)
+        best = start + seen[0]
+        for e in seen[1:]:
+            best = (best[:, None] + trans).max(0) + e
+        # paths may tie, so their scores are compared
+        score = start[path[0]] + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(e[x] for e, x in zip(seen, path, strict=True))
+        assert score == pytest.approx(best.max())
