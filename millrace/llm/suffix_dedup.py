@@ -17,13 +17,21 @@ string occurs twice in a run.
    the strings with a common prefix of WIDTH bytes. Suffixes are never sorted across shards.
 4. In each interval the string that starts first stays; the others' bytes are removed.
 
-Bounds: tasks hold one bucket of runs, of dictionary entries or of documents; buckets follow the input's
-splits and the shuffle partitions. Texts are hashed in pieces of CHUNK bytes, whatever their length. Equal runs are reduced to one before they are dealt out, so a passage
-that stands in a third of all documents costs a bucket one row for each batch of texts.
+Hot minimizers: a passage that many texts share has an entry for each text at its edges, where each text's
+own bytes begin. A group of over HOT entries is split by the longest context there is, the string itself: its
+runs become single strings that are dealt out by 128 bits of hashes, and of equal ones the first stays. So no
+merge ever takes more than HOT entries of one minimizer, and no string is left out.
+
+Bounds: buckets follow the input's splits and the shuffle partitions; their rows stream by, and of equal
+ones only the first is held. Texts are hashed in pieces of CHUNK bytes, whatever their length, runs are
+collapsed FLUSH at a time before they are dealt out, and a merge takes whole minimizer groups up to about
+LIMIT bytes at a time, at 70 bytes of memory for each. Documents are dealt out by id and text, so only rows
+equal in both meet in one task whatever their number.
 
 Defined results: null text: empty; texts under WIDTH bytes: nothing removed; null ids stand after all
-others; rows equal in id and text are one document and get the same result; rows that share an id
-only go by the text's crc32; empty table: no rows; other columns are ignored.
+others, in order of the texts' crc32; ids are whole numbers; rows equal in id and text are one document and
+get the same result; rows that share an id only go by the text's crc32; empty table: no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, in_chunks, parts, raw_texts, written
+from .common import arrow_schema, bound_batches, in_chunks, parts, raw_texts, starts_of, written
 
 WIDTH, GRAM = 100, 32
-CHUNK, FLUSH, PLACE = 1 << 19, 1 << 19, (1 << 26) - 1
+CHUNK, FLUSH, PLACE = 1 << 19, 1 << 18, (1 << 26) - 1
+#: Entries of a minimizer beyond which it is hot; bytes of a merge; rows of a bucket held before equal ones are put together.
+HOT, LIMIT, HELD = 4096, 1 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max  # what null ids count as
-MULT = np.uint64(0x9E3779B97F4A7C15)
+MULT, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,6 +60,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _rolled(buf: np.ndarray, mult: np.uint64) -> tuple[dict, dict]:
+    """Polynomial hashes of 1, 2, 4 .. bytes up to WIDTH at each place, and what joins them, by their length."""
+    powers, hashes, span = {}, {}, 1
+    h = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    with np.errstate(over="ignore"):
+        while True:
+            hashes[span], powers[span] = h, mult
+            if span * 2 > WIDTH:
+                return hashes, powers
+            h, mult, span = h[:-span] * mult + h[span:], mult * mult, span * 2
+
+
+def _joined(hashes: dict, powers: dict, m: int) -> np.ndarray:
+    """Hashes of the strings of WIDTH bytes at the first m places."""
+    whole, at = np.zeros(m, np.uint64), 0
+    for s in sorted(hashes, reverse=True):
+        if WIDTH - at >= s:
+            whole = whole * powers[s] + hashes[s][at : at + m]
+            at += s
+    return whole
+
+
 def text_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Runs of the texts: (text, start, number of strings, minimizer, second hash of the bytes).
 
@@ -61,22 +93,12 @@ def text_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if n < WIDTH:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    powers, hashes, span, mult = {}, {}, 1, MULT
-    h = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    with np.errstate(over="ignore"):
-        while True:  # polynomial hashes of 1, 2, 4 .. 64 bytes
-            hashes[span], powers[span] = h, mult
-            if span * 2 > WIDTH:
-                break
-            h, mult, span = h[:-span] * mult + h[span:], mult * mult, span * 2
+    hashes, powers = _rolled(buf, MULT)
     m = n - WIDTH + 1
-    whole, at = np.zeros(m, np.uint64), 0
-    for s in sorted(hashes, reverse=True):
-        if WIDTH - at >= s:
-            whole = whole * powers[s] + hashes[s][at : at + m]
-            at += s
+    whole = _joined(hashes, powers, m)
     # the least hash and, of equal ones, the leftmost: the low bits hold the place
     gram = _mix(hashes[GRAM])
+    del hashes
     place = np.arange(len(gram), dtype=np.uint64) & np.uint64(PLACE)
     least, count, want = (gram & ~np.uint64(PLACE)) | place, 1, WIDTH - GRAM + 1
     while count * 2 <= want:
@@ -98,10 +120,17 @@ def text_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return t, begin - (ends - size)[t], length, gram[anchor], second
 
 
+def string_hashes(data: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string of WIDTH bytes in runs of so many strings, whose bytes stand one after the other."""
+    buf = np.frombuffer(data, np.uint8)
+    at = np.repeat(starts_of(length + WIDTH - 1) - starts_of(length), length) + np.arange(length.sum())
+    return tuple(_mix(_joined(*_rolled(buf, mult), len(buf) - WIDTH + 1)[at]) for mult in (MULT, OTHER))
+
+
 #: A packet: parallel arrays of runs or of covered stretches (kind 1) on their way to a bucket.
 PACKET = "bucket int, kind int, doc binary, crc binary, start binary, length binary, low binary, high binary"
 DTYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint64)
-RUN, COVER, SEND = 0, 1, 2
+RUN, COVER, SEND, SPLIT = 0, 1, 2, 3
 
 
 def packets(schema: pa.Schema, bucket: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
@@ -125,9 +154,9 @@ def _bucket(low: np.ndarray, n: int) -> np.ndarray:
     return ((low >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
-def _home(doc: np.ndarray, n: int) -> np.ndarray:
+def _home(doc: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
     """The bucket of a document."""
-    return _bucket(_mix(doc.astype(np.int64).view(np.uint64) * MULT), n)
+    return _bucket(_mix((doc.astype(np.int64).view(np.uint64) + crc.astype(np.uint64) * OTHER) * MULT), n)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -151,7 +180,12 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
             yield i, at, t[at : at + CHUNK + WIDTH - 1]
 
 
-def _find_runs(n: int, schema: pa.Schema):
+def _covers(n: int, schema: pa.Schema, doc, crc, start, strings) -> pa.RecordBatch:
+    """Packets of the stretches that so many strings from start on cover."""
+    return packets(schema, _home(doc, crc, n), COVER, doc, crc, start, strings + WIDTH - 1)
+
+
+def _find_runs(n: int, schema: pa.Schema, flush_at: int):
     def run(batches):
         held, rows = [], 0
 
@@ -161,7 +195,7 @@ def _find_runs(n: int, schema: pa.Schema):
             keep, rest = order[new], order[other]
             yield packets(schema, _bucket(low[keep], n), RUN, *(x[keep] for x in (doc, crc, start, length, low, high)))
             # equal to an earlier run of this batch: covered, whatever the others hold
-            yield packets(schema, _home(doc[rest], n), COVER, doc[rest], crc[rest], start[rest], length[rest] + WIDTH - 1)
+            yield _covers(n, schema, doc[rest], crc[rest], start[rest], length[rest])
 
         for b in batches:
             ids = _ids(b.column(0))
@@ -170,64 +204,112 @@ def _find_runs(n: int, schema: pa.Schema):
             for chunk in in_chunks(_pieces(texts), CHUNK, lambda x: len(x[2])):
                 t, start, length, low, high = text_runs([x[2] for x in chunk])
                 of, offset = (np.array([x[i] for x in chunk], np.int64)[t] for i in (0, 1))
-                held.append((ids[of], crcs[of], start + offset, length, low, high))
+                held.append((ids[of], crcs[of], (start + offset).astype(np.uint32), length.astype(np.uint32), low, high))
                 rows += len(t)
-            if rows >= FLUSH:
-                yield from flush()
-                held, rows = [], 0
+                if rows >= flush_at:
+                    yield from flush()
+                    held, rows = [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def _grouped(rows, handle):
-    """A mapInArrow function over packets sorted by bucket: handle(bucket, rows of that bucket)."""
+def _by_bucket(rows: DataFrame, bucket, ddl: str) -> DataFrame:
+    """Rows sorted by their first column go one by one to bucket(), which gives add(row) and end() of a bucket."""
 
     def run(batches):
-        held, at = [], None
+        at, own = None, None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != at and held:
-                    yield from handle(at, held)
-                    held = []
-                at = r[0]
-                held.append(r[1:])
-        if held:
-            yield from handle(at, held)
+                if r[0] != at:
+                    if own:
+                        yield from own.end()
+                    at, own = r[0], bucket()
+                yield from own.add(r)
+        if own:
+            yield from own.end()
+
+    return rows.mapInArrow(run, ddl)
+
+
+class Firsts:
+    """Of rows (doc, crc, start, length, low, high) equal in low and high the first; the others are covered."""
+
+    def __init__(self, n: int, schema: pa.Schema, most: int):
+        self.n, self.schema, self.least, self.most = n, schema, most, most
+        self.held, self.rows = [], 0
+
+    def add(self, cols: list[np.ndarray]):
+        self.held.append(cols)
+        self.rows += len(cols[0])
+        if self.rows >= self.most:
+            yield from self.compact()
+            self.most = max(self.least, 2 * self.rows)
+
+    def compact(self):
+        """Covers; what is held afterwards is one array a column, in order of low."""
+        cols = [np.concatenate(x) for x in zip(*self.held, strict=True)] if self.held else unpack([])
+        doc, crc, start, length, low, high = cols
+        order, new, other = _first_of_equal(doc, crc, start, low, high)
+        rest = order[other]
+        yield _covers(self.n, self.schema, doc[rest], crc[rest], start[rest], length[rest])
+        self.held = [[c[order[new]] for c in cols]]
+        self.rows = int(new.sum())
 
-    return rows.mapInArrow(run, PACKET)
 
+class Runs(Firsts):
+    """A bucket of runs: stretches covered as a whole, entries to be compared, and runs of hot minimizers."""
 
-def _sort_out(n: int, schema: pa.Schema):
-    """Of a bucket of runs: stretches covered as a whole, and dictionary entries to be compared."""
+    def __init__(self, n: int, schema: pa.Schema, most: int, hot: int):
+        super().__init__(n, schema, most)
+        self.limit, self.hot = hot, np.zeros(0, np.uint64)
 
-    def handle(bucket, rows):
-        for kind, *arrays in rows:
-            if kind == COVER:
-                doc, crc, start, length, *_ = unpack([arrays])
-                yield packets(schema, _home(doc, n), COVER, doc, crc, start, length)
-        doc, crc, start, length, low, high = unpack([r[1:] for r in rows if r[0] == RUN])
-        if not len(doc):
+    def add(self, row):
+        kind, cols = row[1], unpack([row[2:]])
+        if kind == COVER:
+            yield _covers(self.n, self.schema, *cols[:3], cols[3] - np.uint32(WIDTH - 1))
             return
-        order, new, other = _first_of_equal(doc, crc, start, low, high)
-        rest, heads = order[other], order[new]
-        yield packets(schema, _home(doc[rest], n), COVER, doc[rest], crc[rest], start[rest], length[rest] + WIDTH - 1)
-        l = low[heads]  # sorted
-        shared = np.zeros(len(l), bool)
-        shared[1:] = l[1:] == l[:-1]
-        shared[:-1] |= l[1:] == l[:-1]
-        heads = heads[shared]
-        yield packets(schema, _home(doc[heads], n), SEND, *(x[heads] for x in (doc, crc, start, length, low)))
-
-    return handle
-
-
-ENTRIES = "bucket int, shard int, doc binary, crc binary, start binary, length binary, low binary, bytes binary"
+        split = np.isin(cols[4], self.hot)
+        if split.any():
+            yield self.sent(SPLIT, [c[split] for c in cols])
+            cols = [c[~split] for c in cols]
+        yield from super().add(cols)
+
+    def sent(self, kind: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+        return packets(self.schema, _home(cols[0], cols[1], self.n), kind, *cols[:5])
+
+    def compact(self):
+        yield from super().compact()
+        cols = self.held[0]
+        low, count = np.unique(cols[4], return_counts=True)
+        if (count > self.limit).any():
+            self.hot = np.union1d(self.hot, low[count > self.limit])
+            split = np.isin(cols[4], self.hot)
+            yield self.sent(SPLIT, [c[split] for c in cols])
+            self.held = [[c[~split] for c in cols]]
+            self.rows = int((~split).sum())
+
+    def end(self):
+        yield from self.compact()
+        cols = self.held[0]
+        low = cols[4]
+        shared = np.zeros(len(low), bool)
+        shared[1:] = low[1:] == low[:-1]
+        shared[:-1] |= low[1:] == low[:-1]
+        yield self.sent(SEND, [c[shared] for c in cols])
+
+
+ENTRIES = "bucket int, kind int, shard int, doc binary, crc binary, start binary, length binary, low binary, high binary, bytes binary"
+SLICE = 1 << 14  # runs of hot minimizers that are cut into strings at a time
 
 
 def _entries(n: int, schema: pa.Schema):
-    """Cuts a shard's dictionary entries out of its documents."""
+    """Cuts a shard's dictionary entries, and the strings of hot minimizers, out of its documents."""
+
+    def by(to):
+        order = np.argsort(to, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(to) else []
 
     def run(docs: pa.Table, sends: pa.Table) -> pa.Table:
         if not sends.num_rows or not docs.num_rows:
@@ -235,15 +317,29 @@ def _entries(n: int, schema: pa.Schema):
         texts = {}
         for i, t in zip(_ids(docs["doc_id"].combine_chunks()).tolist(), raw_texts(docs["text"].combine_chunks()), strict=True):
             texts[i, zlib.crc32(t)] = t
-        rows = list(zip(*(sends[c].to_pylist() for c in ("doc", "crc", "start", "length", "low", "high")), strict=True))
-        doc, crc, start, length, low, _ = unpack(rows)
-        shard, to = docs["home"][0].as_py(), _bucket(low, n)
-        order = np.argsort(to, kind="stable")
-        out = []
-        for p in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            spans = zip(doc[p].tolist(), crc[p].tolist(), start[p].tolist(), (start[p].astype(np.int64) + length[p] + WIDTH - 1).tolist(), strict=True)
-            data = b"".join([texts[d, c][s:e] for d, c, s, e in spans])
-            out.append((int(to[p[0]]), shard, *(x[p].tobytes() for x in (doc, crc, start, length, low)), zlib.compress(data, 1)))
+        rows = list(zip(*(sends[c].to_pylist() for c in ("kind", "doc", "crc", "start", "length", "low", "high")), strict=True))
+        shard, out = docs["home"][0].as_py(), []
+
+        def cut(cols, p):
+            spans = zip(*(c[p].tolist() for c in cols[:3]), (cols[2][p].astype(np.int64) + cols[3][p] + WIDTH - 1).tolist(), strict=True)
+            return b"".join([texts[d, c][s:e] for d, c, s, e in spans])
+
+        cols = unpack([r[1:] for r in rows if r[0] == SEND])
+        to = _bucket(cols[4], n)
+        for p in by(to):
+            out.append((int(to[p[0]]), SEND, shard, *(x[p].tobytes() for x in cols[:5]), b"", zlib.compress(cut(cols, p), 1)))
+        cols = unpack([r[1:] for r in rows if r[0] == SPLIT])
+        for at in range(0, len(cols[0]), SLICE):
+            p = np.arange(at, min(at + SLICE, len(cols[0])))
+            length = cols[3][p].astype(np.int64)
+            low, high = string_hashes(cut(cols, p), length)
+            own = np.repeat(p, length)
+            start = cols[2][own] + (np.arange(len(own)) - np.repeat(starts_of(length), length)).astype(np.uint32)
+            to, one = _bucket(low, n), np.ones(len(own), np.uint32)
+            for k in by(to):
+                out.append((int(to[k[0]]), SPLIT, shard, *(x[k].tobytes() for x in (cols[0][own], cols[1][own], start, one, low, high)), b""))
+        if not out:
+            return schema.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -261,64 +357,75 @@ class Strings:
     """Strings of bytes, each ended by a mark of its own, in order of their shards."""
 
     def __init__(self, data: np.ndarray, length: np.ndarray, shard: np.ndarray):
-        self.count, size = len(length), length + 1
-        self.first = np.cumsum(size) - size
-        self.sid = np.repeat(np.arange(self.count), size)
-        self.off = np.arange(int(size.sum())) - self.first[self.sid]
-        self.rem = length[self.sid] - self.off  # 0 at the mark
-        self.size, self.shard = size, shard
+        self.count, self.shard = len(length), shard.astype(np.uint16)
+        self.size = (length + 1).astype(np.int32)
+        self.first = starts_of(self.size.astype(np.int64)).astype(np.int32)
+        self.sid = np.repeat(np.arange(self.count, dtype=np.int32), self.size)
+        self.off = np.arange(len(self.sid), dtype=np.int32) - self.first[self.sid]
         alphabet, dense = np.unique(data, return_inverse=True)
-        self.symbol = np.zeros(len(self.sid), np.int64)
-        self.symbol[self.rem > 0] = dense + 1
+        self.symbol = np.zeros(len(self.sid), np.uint16)
+        self.symbol[self.left() > 0] = dense + 1
         self.bits = max(1, int(len(alphabet)).bit_length())
         self.q = max(1, min(62 // self.bits, WIDTH))
 
+    def left(self) -> np.ndarray:
+        """Symbols from each row to its string's mark; 0 at the mark."""
+        return self.size[self.sid] - 1 - self.off
+
     def keys(self) -> np.ndarray:
         """The next q symbols of each row as one number; zeros from the mark on."""
-        n, key = len(self.sid), np.zeros(len(self.sid), np.int64)
-        for j in range(self.q):
-            key <<= self.bits
-            key[: n - j] |= np.where(self.rem[: n - j] > j, self.symbol[j:], 0)
-        return key
+        left = self.left()
+
+        def joined(a, i, b, j):
+            out = a << self.bits * j
+            np.bitwise_or(out[: len(b) - i], b[i:], out=out[: len(b) - i], where=left[: len(b) - i] >= i)
+            return out
+
+        # what a mark is followed by is its own string's nothing, so its numbers stay zero
+        part, k, key, have = self.symbol.astype(np.int64), 1, np.zeros(len(left), np.int64), 0
+        while True:
+            if self.q & k:
+                key, have = joined(key, have, part, k), have + k
+            if 2 * k > self.q:
+                return key
+            part, k = joined(part, k, part, k), 2 * k
 
     def codes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Dense codes in the order of keys, where rows that hold a mark are told apart by their string."""
         order = np.argsort(key)
         k = key[order]
-        start = np.maximum.accumulate(np.where(np.append(True, k[1:] != k[:-1]), np.arange(len(k)), 0))
-        code = np.empty(len(k), np.int64)
-        code[order] = start
-        ended = np.flatnonzero(self.rem < self.q)
+        new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        code = np.empty(len(k), np.int32)
+        code[order] = np.repeat(new, np.diff(np.append(new, len(k))))
+        ended = np.flatnonzero(self.left() < self.q)
         e = ended[np.lexsort((self.sid[ended], key[ended]))]
         ke = key[e]
         first = np.maximum.accumulate(np.where(np.append(True, ke[1:] != ke[:-1]), np.arange(len(e)), 0))
-        code[e] += np.arange(len(e)) - first
-        return code, order
+        code[e] += (np.arange(len(e)) - first).astype(np.int32)
+        return code, order.astype(np.int32)
 
     def suffix_arrays(self, code: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Each shard's rows in order of their suffixes, shard after shard, by prefix doubling within shards."""
         n = len(code)
-        shard = self.shard[self.sid].astype(np.uint16)
+        shard = self.shard[self.sid]
+        # order is by key, codes tell apart the rows that hold a mark
         sa = order[np.argsort(code[order], kind="stable")]
         sa = sa[np.argsort(shard[sa], kind="stable")]
-        rank, k = np.empty(n, np.int64), self.q
+        rank, k = np.empty(n, np.int32), self.q
         new = np.append(True, (code[sa][1:] != code[sa][:-1]) | (shard[sa][1:] != shard[sa][:-1]))
-        where = np.arange(n)
-        rank[sa] = np.maximum.accumulate(np.where(new, where, 0))
-        active = ~(new & np.append(new[1:], True))
-        while active.any():
-            at = np.flatnonzero(active)
+        del shard
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+        at = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
+        while len(at):
             rows = sa[at]
             # a row that ends within k symbols is already alone, so rank[rows + k] is in the same string
-            second = rank[np.minimum(rows + k, n - 1)]
-            p = np.argsort(rank[rows] << 32 | second)
-            rows, second = rows[p], second[p]
+            both = rank[rows].astype(np.int64) << 32 | rank[np.minimum(rows.astype(np.int64) + k, n - 1)]
+            p = np.argsort(both)
+            rows, both = rows[p], both[p]
             sa[at] = rows
-            group = rank[rows]
-            fresh = np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))
+            fresh = np.append(True, both[1:] != both[:-1])
             rank[rows] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-            alone = fresh & np.append(fresh[1:], True)
-            active[at[alone]] = False
+            at = at[~(fresh & np.append(fresh[1:], True))]
             k *= 2
         return sa
 
@@ -332,51 +439,83 @@ def merge(strings: Strings, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]
     """Rows in merged order of their first width symbols, and which of them begin an interval of equal ones."""
     code, order = strings.codes(strings.keys())
     sa = strings.suffix_arrays(code, order)
-    one = np.where(strings.rem == 0, strings.sid, strings.count + strings.symbol)
+    del order
+    one = np.where(strings.symbol == 0, strings.sid, strings.count + strings.symbol.astype(np.int32))
     transforms = {strings.q: code[strings.before(sa, strings.q)], 1: one[strings.before(sa, 1)]}
-    interleave = strings.shard[strings.sid[sa]].astype(np.uint16)
-    block, new = np.zeros(len(sa), np.int64), np.ones(len(sa), bool)
+    del code, one
+    interleave = strings.shard[strings.sid[sa]]
+    block, new = np.zeros(len(sa), np.int32), np.ones(len(sa), bool)
     for step in [1] * (width % strings.q) + [strings.q] * (width // strings.q):
-        symbol = np.empty(len(sa), np.int64)
+        symbol = np.empty(len(sa), np.int32)
         symbol[np.argsort(interleave, kind="stable")] = transforms[step]
         move = _stable(symbol)
         interleave, symbol, block = interleave[move], symbol[move], block[move]
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new)
-    rows = np.empty(len(sa), np.int64)
+        block = np.cumsum(new, dtype=np.int32)
+    rows = np.empty(len(sa), np.int32)
     rows[np.argsort(interleave, kind="stable")] = sa
     return rows, new
 
 
-def _merge_bucket(n: int, schema: pa.Schema):
-    """Of a bucket of dictionary entries: the stretches that repeat earlier ones."""
-
-    def handle(bucket, rows):
-        rows = sorted(rows, key=lambda r: r[0])
-        doc, crc, start, length = (np.concatenate([np.frombuffer(r[i + 1], t) for r in rows]) for i, t in enumerate(DTYPES[:4]))
+def repeated(data: np.ndarray, doc, crc, start, length, shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of length strings each: (entry, first string, number of strings) of the stretches that repeat earlier ones."""
+    strings = Strings(data, length.astype(np.int64) + WIDTH - 1, shard)
+    order, new = merge(strings)
+    by = np.lexsort((crc, doc))
+    other = np.append(False, (doc[by][1:] != doc[by][:-1]) | (crc[by][1:] != crc[by][:-1]))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(other)
+    sid, off = strings.sid[order], strings.off[order]
+    valid = off < length[sid]
+    key = place[sid] << 32 | (start[sid].astype(np.int64) + off)
+    key[~valid] = LAST
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(key, first)
+    again = order[valid & (key != np.repeat(least, np.diff(np.append(first, len(key)))))]
+    again.sort()
+    sid, off = strings.sid[again], strings.off[again]
+    fresh = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (off[1:] != off[:-1] + 1))[: len(again)])
+    return sid[fresh], off[fresh], np.diff(np.append(fresh, len(again)))
+
+
+class Entries:
+    """A bucket of dictionary entries and of hot minimizers' strings: the stretches that repeat earlier ones."""
+
+    def __init__(self, n: int, schema: pa.Schema, most: int, limit: int):
+        self.n, self.schema, self.limit = n, schema, limit
+        self.packed, self.strings = [], Firsts(n, schema, most)
+
+    def add(self, row):
+        if row[1] == SPLIT:
+            yield from self.strings.add(unpack([row[3:9]]))
+        else:
+            self.packed.append(row[2:])
+
+    def end(self):
+        yield from self.strings.compact()
+        self.strings, rows = None, sorted(self.packed, key=lambda r: r[0])
+        if not rows:
+            return
+        doc, crc, start, length, low = unpack([r[1:7] for r in rows])[:5]
         shard = np.repeat(np.unique([r[0] for r in rows], return_inverse=True)[1], [len(r[1]) // 8 for r in rows])
-        data = np.frombuffer(b"".join(zlib.decompress(r[6]) for r in rows), np.uint8)
-        strings = Strings(data, length.astype(np.int64) + WIDTH - 1, shard)
-        order, new = merge(strings)
-        _, place = np.unique(np.stack([doc.view(np.uint64) ^ np.uint64(1 << 63), crc.astype(np.uint64)], 1), axis=0, return_inverse=True)
-        sid, off = strings.sid[order], strings.off[order]
-        key = place.ravel()[sid] << 32 | (start[sid] + off)
-        valid = off < length[sid]
-        least = np.minimum.reduceat(np.where(valid, key, LAST), np.flatnonzero(new))
-        again = order[valid & (key != least[np.cumsum(new) - 1])]
-        again.sort()
-        sid, off = strings.sid[again], strings.off[again]
-        fresh = np.append(True, (sid[1:] != sid[:-1]) | (off[1:] != off[:-1] + 1))[: len(again)]
-        a = np.flatnonzero(fresh)
-        s = sid[a]
-        yield packets(schema, _home(doc[s], n), COVER, doc[s], crc[s], start[s] + off[a], np.diff(np.append(a, len(again))) + WIDTH - 1)
-
-    return handle
-
-
-
-
-def repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+        data = np.frombuffer(b"".join([zlib.decompress(r[7]) for r in rows]), np.uint8)
+        self.packed = rows = None
+        size = length.astype(np.int64) + WIDTH - 1
+        at, by, found = starts_of(size), np.argsort(low, kind="stable"), []
+        # merges of whole minimizer groups, each of about limit bytes
+        group = np.flatnonzero(np.append(True, low[by][1:] != low[by][:-1]))
+        take = starts_of(np.add.reduceat(size[by], group)) // self.limit
+        ends = np.append(group[np.flatnonzero(np.diff(take)) + 1], len(by))
+        for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+            own = np.sort(by[a:b])
+            place = np.repeat(at[own] - starts_of(size[own]), size[own]) + np.arange(size[own].sum())
+            e, first, count = repeated(data[place], doc[own], crc[own], start[own], length[own], shard[own])
+            found.append((own[e], start[own[e]] + first.astype(np.uint32), count.astype(np.uint32)))
+        e, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield _covers(self.n, self.schema, doc[e], crc[e], first, count)
+
+
+def repeats(docs: DataFrame, carry: tuple[str, ...] = (), hot: int = HOT, limit: int = LIMIT, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(documents with their bucket `home`, packets of covered stretches by bucket)."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -387,24 +526,27 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, Da
 
     def homes(batches):
         for b in batches:
-            home = _home(_ids(b.column(0)), n)
+            crc = np.array([zlib.crc32(t) for t in raw_texts(b.column(1))], np.uint32)
+            home = _home(_ids(b.column(0)), crc, n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["doc_id", "text", *carry, "home"])
 
     more = "".join(f"{c} {whole.schema[c].dataType.simpleString()}, " for c in carry)
     placed = whole.mapInArrow(homes, f"doc_id long, text string, {more}home int")
-    runs = texts.mapInArrow(_find_runs(n, schema), PACKET).repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = written(_grouped(runs, _sort_out(n, schema)), "runs")
-    entries = placed.groupBy("home").cogroup(found.where(f"kind = {SEND}").withColumnRenamed("bucket", "home").groupBy("home")).applyInArrow(_entries(n, entry_schema), ENTRIES)
-    covers = _grouped(entries.repartition(n, "bucket").sortWithinPartitions("bucket"), _merge_bucket(n, schema))
+    runs = texts.mapInArrow(_find_runs(n, schema, FLUSH), PACKET).repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = written(_by_bucket(runs, lambda: Runs(n, schema, held, hot), PACKET), "runs")
+    sends = found.where(f"kind IN ({SEND}, {SPLIT})").withColumnRenamed("bucket", "home")
+    entries = placed.groupBy("home").cogroup(sends.groupBy("home")).applyInArrow(_entries(n, entry_schema), ENTRIES)
+    covers = _by_bucket(entries.repartition(n, "bucket").sortWithinPartitions("bucket"), lambda: Entries(n, schema, held, limit), PACKET)
     return placed, found.where(f"kind = {COVER}").unionByName(covers).withColumnRenamed("bucket", "home")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ...] = (), **sizes: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the remaining text.
 
     In kept, characters that a removal has cut in two are left out whole. carry: more columns of docs.
+    sizes: hot, limit and held of repeats(), which don't change results.
     """
-    placed, covers = repeats(docs, carry)
+    placed, covers = repeats(docs, carry, **sizes)
     more = [*(["kept string"] if keep_text else []), *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)]
     ddl = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *more])
     schema = arrow_schema(docs.sparkSession, ddl)
