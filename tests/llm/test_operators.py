@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -177,34 +176,6 @@ def test_mixing(docs, empty):
     assert again == {(r.doc_id, r["size"], r.copies) for r in got}
 
 
-def test_decontamination_matches_brute_force(spark, docs, empty):
-    t = [x for x in texts() if x]
-    passage = " ".join(t[5].split()[10:40])
-    items = [(1, passage), (2, "never seen anywhere at all in these texts"), (3, None), (4, ""), (5, " ".join(t[14].split()[100:160])), (5, passage)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    index = contamination.Index([i for i, x in items if x], [x.encode() for _, x in items if x])
-    for size, (own, _) in index.near.items():
-        prints = np.random.default_rng(size).integers(0, 2**64, 500, dtype=np.uint64) & index.prints[own[0]]
-        near = {(w, i) for w in range(500) for i in own.tolist() if int(prints[w] ^ index.prints[i]).bit_count() <= contamination.RADIUS}
-        assert set(index.candidates(prints, size)) == near
-    want = set()
-    for d, b in rows_of(docs):
-        words = b.lower().split()
-        for k, (item, x) in enumerate((i, x) for i, x in items if x):
-            n, counts = len(x.split()), index.counts[k]
-            codes = [index.code.get(tuple(index.vocabulary.get(y, 0) for y in words[i : i + 5])) for i in range(len(words) - 4)]
-            for at in range(max(1, len(words) - n + 1)):
-                have = Counter(codes[at : at + n - 4])
-                if sum(min(c, have[s]) * index.weight[s] for s, c in counts.items()) / index.total[k] >= 0.8:
-                    want.add((d, item))
-    got = contamination.contaminated(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want and (7, 1) in want
-    assert contamination.contaminated(empty, bench).count() == 0
-    assert contamination.contaminated(docs, bench.where("false")).count() == 0
-    kept = contamination.without_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({d for d, _ in want} - {None})
-
-
 def test_media_round_trip(docs, empty):
     for r in media.audio_features(docs).collect():
         t = r.tensors
