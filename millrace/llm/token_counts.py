@@ -9,13 +9,17 @@ numbers the documents, and the pieces at block borders are summed by that number
 Bounds: a task holds one block; the scan's window holds one short row a block; only border pieces
 are shuffled, one or two a block.
 
-Defined results: null or empty text: 0 tokens; an unfinished last document is reported where it has
+White space runs too long for the pattern's engine are encoded as the single pieces that the pattern makes of
+them, so texts of any length and kind get the tokens of the uncut encoding.
+
+Defined results: null or empty text: 0 tokens; ids are whole numbers; an unfinished last document is reported where it has
 tokens; empty table: no rows; repeated rows: repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from .common import bound_batches, raw_texts, written
 #: Fixed values of the public byte-level vocabulary: its pattern, and the id free for a separator.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
+#: White space as the pattern takes it, in runs whose length its engine might not stand.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 18
 
@@ -45,6 +51,17 @@ def _encoder(ranks: bytes):
     return _encoders[key]
 
 
+def encode(enc, text: str) -> list[int]:
+    """Token ids of a text: of a run of white space the pattern takes all but the last place as one piece, or all at the end."""
+    out, at = [], 0
+    for m in LONG_RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if out or at else enc.encode_ordinary(text)
+
+
 def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file_id, kind, seq, payload: blocks of uint16 token ids (kind 0), and apart from them the doc ids in order (kind 1)."""
     spark = docs.sparkSession
@@ -66,7 +83,7 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int
         for b in batches:
             blocks = []
             for t in raw_texts(b.column(1)):
-                ids = np.array(enc.encode_ordinary(t.decode("utf-8", "replace")), np.uint16)
+                ids = np.array(encode(enc, t.decode("utf-8", "replace")), np.uint16)
                 held += [ids, end]
                 n += len(ids) + 1
                 if n >= block_tokens:
