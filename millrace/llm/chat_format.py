@@ -10,13 +10,15 @@ within a row: a turn that goes on in the next row goes on there with begins = fa
 A conversation of any length is handled: rows are cut into chunks by turn number, the lines of each chunk become one
 max-plus matrix from entering to leaving state, and the matrices are combined FAN at a time up a tree;
 the states at the borders are then fixed from the top down, and each chunk is decoded between its
-own. No task ever holds more than a chunk or FAN matrices.
-A row is never cut, so a chunk is as large as the texts of its CHUNK turns.
-
-Defined results: null text: an empty line; null or negative turn: as turn 0, before it by number; null
-role: not used for decoding anyway; null conv_id: a conversation of its own; rows equal in conv_id,
-turn and text: one row; line breaks: \\n, \\r\\n or \\r, rendered as \\n; a marker goes where its line begins a turn; other rows of one turn: in order of their text; ties of paths: the least
-state; empty table: no rows; other columns are ignored.
+own. No task ever holds more than a chunk or FAN matrices. Chunks of over CROWD rows, as of a conversation
+whose turns have no or equal numbers, are cut into smaller ones by turn and by a hash of the texts.
+A row is never cut, so a chunk is as large as the texts of its rows.
+
+Defined results: null text: an empty line; null or negative turn: before turn 0; turns beyond LAST: as LAST;
+null role: not used for decoding anyway; null conv_id: a conversation of its own; rows equal in conv_id,
+turn and text: one observation, whose results are given once for each row; line breaks: \\n, \\r\\n or \\r,
+rendered as \\n; a marker goes where its line begins a turn; other rows of one turn: in order of a hash of
+their text; ties of paths: the least state; empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, bound_batches, parts, written
 
 ROLES = ("system", "user", "assistant")
-CHUNK, FAN = 64, 64  # turns of a chunk; matrices of a node
+CHUNK, FAN, CROWD, LAST = 64, 64, 512, 1 << 32  # turns of a chunk; matrices of a node; most rows of a chunk; last turn
+COPIES = 1 << 16  # equal rows that are given their results at a time
 #: What writers put before a turn, by role.
 MARKERS = {
     "system": ("system", "instructions", "sys"),
@@ -174,6 +177,20 @@ def _matrix_with_start(seen: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return m
 
 
+def _uncrowded(rows: DataFrame) -> DataFrame:
+    """rows with idx such that no chunk has many over CROWD rows: numbers in the same order, with room for the parts of chunks."""
+    crowds = rows.groupBy("conv", "idx").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
+    crowds = crowds.select(F.col("conv").alias("c"), F.col("idx").alias("i"), F.ceil(F.log2(F.col("rows") / CROWD) + 1).cast("int").alias("s"))
+    most = crowds.agg(F.max("s")).first()[0]
+    if most is None:
+        return rows
+    room = CHUNK.bit_length() + most
+    # by turn, then by the s upper bits of the hash
+    part = F.expr(f"shiftleft(place % {CHUNK}, s) + shiftrightunsigned(h ^ shiftleft(1L, 63), 64 - s)")
+    cut = rows.join(crowds, rows["conv"].eqNullSafe(crowds["c"]) & (rows["idx"] == crowds["i"]), "left")
+    return written(cut.withColumn("idx", F.shiftleft("idx", room) + F.coalesce(part, F.lit(0))).drop("c", "i", "s"), "lines")
+
+
 def recover_roles(lines: DataFrame) -> DataFrame:
     """conv_id, turn, line, role, begins, text, rendered for rows (conv_id, turn, text) of transcripts.
 
@@ -182,8 +199,11 @@ def recover_roles(lines: DataFrame) -> DataFrame:
     spark = lines.sparkSession
     bound_batches(spark)
     n, conv = parts(lines), lines.schema["conv_id"].dataType.simpleString()
-    rows = lines.select(F.col("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = written(rows.withColumn("idx", F.floor(F.greatest("turn", F.lit(0)) / CHUNK)), "lines")
+    rows = lines.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.least(F.greatest(F.coalesce("turn", F.lit(-1)), F.lit(-1)), F.lit(LAST)) + 1
+    rows = rows.groupBy("conv", "turn", "text").agg(F.count("*").alias("n")).withColumn("place", place)
+    rows = written(rows.withColumns({"idx": F.floor(F.col("place") / CHUNK), "h": F.xxhash64("text")}), "lines")
+    rows = _uncrowded(rows)
     trans = transitions()
     # chunks are numbered by turn, so a gap leaves numbers out; the tree takes what there is, in order
 
@@ -191,7 +211,7 @@ def recover_roles(lines: DataFrame) -> DataFrame:
         seen = np.array([emissions(x) for r in group for x in BREAK.split(r["text"])])
         return [{"conv": group[0]["conv"], "idx": group[0]["idx"], "m": _matrix_with_start(seen, trans).ravel().tolist()}]
 
-    order = ["turn", "text"]
+    order = ["place", "h", "turn", "text"]
     chunks = written(_by_group(rows, n, ["conv", "idx"], order, matrix, f"conv {conv}, idx long, m array<double>"), "chunks")
     borders = written(_borders(chunks, n, conv), "borders").select(F.col("conv").alias("c"), F.col("idx").alias("i"), "enter", "leave")
     joined = rows.join(borders, rows["conv"].eqNullSafe(borders["c"]) & (rows["idx"] == borders["i"])).drop("c", "i")
@@ -217,10 +237,13 @@ def recover_roles(lines: DataFrame) -> DataFrame:
             for k, state, body in found:
                 role, begins, body = ROLES[state // 2], bool(state % 2), "\n".join(body)
                 head = f"<|{role}|>\n" if begins else ""
-                out.append({"conv_id": r["conv"], "turn": r["turn"], "line": k, "role": role, "begins": begins, "text": body, "rendered": f"{head}{body}\n"})
+                out.append({"conv_id": r["conv"], "turn": r["turn"], "line": k, "role": role, "begins": begins, "text": body, "rendered": f"{head}{body}\n", "n": r["n"]})
         return out
 
-    return _by_group(joined, n, ["conv", "idx"], order, decode, f"conv_id {conv}, turn long, line long, role string, begins boolean, text string, rendered string")
+    found = _by_group(joined, n, ["conv", "idx"], order, decode, f"conv_id {conv}, turn long, line long, role string, begins boolean, text string, rendered string, n long")
+    blocks = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    each = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("n") - F.col("block") * COPIES))))
+    return each.drop("n", "block", "copy")
 
 
 def as_transcript(turns: DataFrame) -> DataFrame:
