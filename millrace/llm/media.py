@@ -1,7 +1,7 @@
 """Audio features of media columns: polyphase resampling, log-mel filterbanks, energy segments.
 
-A payload becomes an 8-bit unsigned PCM WAV file, which is the stored form. What follows reads the
-stored bytes back: it finds the data chunk, resamples by a polyphase filter, takes overlapped windows
+A payload becomes an 8-bit unsigned PCM WAV file, and the files are stored as a Parquet table in the shared
+folder. What follows reads the stored bytes back: it finds the data chunk, resamples by a polyphase filter, takes overlapped windows
 through a mel filterbank and a logarithm, and marks segments by hysteresis on frame energy (a
 segment opens above the upper threshold and closes below the lower one). Frames are cut into tensors
 of one fixed shape with their time spans and kept as an Arrow fixed-shape tensor column in an IPC
@@ -10,7 +10,7 @@ stream, which Parquet stores as binary.
 Each document is handled by itself with shapes that depend on its length alone, so equal texts give
 equal values, and memory is bounded by one block of frames and one document.
 
-Defined results: null or empty text: 64 zero bytes; repeated rows: repeated results; empty table: no
+Defined results: null or empty text: 64 zero bytes; texts of any length are read whole; repeated rows: repeated results; empty table: no
 rows; columns beside doc_id and the text are ignored.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, raw_texts
+from .common import arrow_schema, bound_batches, raw_texts, written
 
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 FRAME, HOP, FFT, MELS = 200, 80, 256, 32
@@ -163,47 +163,52 @@ def pack(text: bytes) -> bytes:
 
 
 SCHEMA = (
-    "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, n_frames long, n_segments long, {more}feature string"
+    "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "n_frames long, n_segments long, feature string, spans array<array<double>>, tensors binary{more}"
 )
 
 
-def audio_features(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """Per document the stored form, its tensors and spans, and a digest of them.
-
-    keep_media adds the binary columns media and tensors and the spans of the segments in seconds.
-    """
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: the stored form of each row's text."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text"))
-    more = "media binary, tensors binary, spans array<array<double>>, " if keep_media else ""
-    schema = SCHEMA.format(kind=rows.schema["doc_id"].dataType.simpleString(), more=more)
-    arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), raw_texts(b.column(1))
-            out = {n: [] for n in arrow.names}
-            for i, t in zip(ids, texts, strict=True):
-                media = encode_wav(pack(t))
-                payload = bytes(decode_wav(media)[1])
-                f = features(media)
-                step = HOP * DOWN / (RATE * UP)
+            texts = raw_texts(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_wav(pack(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+
+
+def stored_features(stored: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Features of stored media (doc_id, n_bytes, media): digests, the spans of segments in seconds, tensors with theirs."""
+    bound_batches(stored.sparkSession)
+    ddl = SCHEMA.format(kind=stored.schema["doc_id"].dataType.simpleString(), more=", media binary" if keep_media else "")
+    schema = arrow_schema(stored.sparkSession, ddl)
+
+    def run(batches):
+        step = HOP * DOWN / (RATE * UP)
+        for b in batches:
+            rows = []
+            for i, n, media in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                payload, f = bytes(decode_wav(media)[1]), features(media)
                 digest = hashlib.sha256(f["tensors"]).hexdigest()[:16]
                 pooled = ",".join(f"{v:.2f}" for v in f["mels"].reshape(8, -1).mean(1))
-                row = {
-                    "doc_id": i, "n_bytes": len(t), "payload_bytes": len(payload),
-                    "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-                    "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-                    "n_frames": f["frames"], "n_segments": len(f["segments"]),
-                    "feature": f"{f['frames']}x{MELS};seg={len(f['segments'])};mel={pooled};tensors={digest}",
-                }
-                if keep_media:
-                    row |= {"media": media, "tensors": f["tensors"], "spans": (f["segments"] * step).tolist()}
-                for n in arrow.names:
-                    out[n].append(row[n])
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+                rows.append((
+                    i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(),
+                    f["frames"], len(f["segments"]), f"{f['frames']}x{MELS};seg={len(f['segments'])};mel={pooled};tensors={digest}",
+                    (f["segments"] * step).tolist(), f["tensors"], *([media] if keep_media else []),
+                ))
+            cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, ddl)
+
+
+def audio_features(docs: DataFrame, keep_media: bool = True) -> DataFrame:
+    """Per document the features read back from its stored form; keep_media adds that as the column media."""
+    return stored_features(written(media_table(docs), "media"), keep_media)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
