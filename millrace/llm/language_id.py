@@ -12,14 +12,17 @@ Log posterior = log prior of the host + text likelihood + declared language + ad
 
 Bounds: the trigram tables are learned from TRAIN_ROWS declared documents a language, told by hash of
 the ids (a documented sample of labelled rows), summed on the executors to languages x BUCKETS
-counts. Host priors stay a table and are joined; a hot host is one row after partial aggregation.
+counts, for the LANGUAGES languages that most documents declare, so the broadcast table is of 34 MB at most;
+another declared value is no evidence. Host priors stay a table; a hot host is one row of it after partial
+aggregation, its rows take the prior by broadcast and rows without a host by none.
 
 A row is rejected where no language has over half of the posterior, or none of the known ones is the
 likeliest, or it has no letters.
 
 Defined results: null or empty text: rejected, with the posterior of the other evidence; null declared
-language, host or path: that evidence is left out; repeated rows: each counts; empty table: no rows;
-other columns are ignored.
+language, host or path: that evidence is left out; ties: the language first in the order of code points, and
+no majority rejects; texts of any length count whole, CHUNK bytes or one text at a time; repeated rows: each
+counts; empty table: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, in_chunks, raw_texts, starts_of, written
+from .common import bound_batches, in_chunks, join_skewed, raw_texts, starts_of, written
 from .url_filter import split_url
 
-BUCKETS, TRAIN_ROWS, CHUNK = 1 << 14, 1500, 1 << 18
+BUCKETS, LANGUAGES, TRAIN_ROWS, CHUNK = 1 << 14, 256, 1500, 1 << 18
 EVIDENCE, TRUST, SUFFIX_TRUST, WEIGHT = 60.0, 0.9, 0.8, 20.0
 NONE = "none"
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -62,7 +65,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     """(languages, log likelihoods: BUCKETS x languages and none) from declared documents."""
     bound_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in counts.collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((BUCKETS, 1))
@@ -159,7 +163,8 @@ def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
     """key, lang, posterior, keep: host priors by grouped aggregation, then the posterior."""
     n = len(languages) + 1
     votes = [F.sum((F.col("guess") == i).cast("double")).alias(f"v{i}") for i in range(n)]
-    by_host = written(found.groupBy("host", "domain").agg(*votes), "hosts")
+    by_host = written(found.groupBy("host", "domain").agg(*votes, F.count("*").alias("rows")), "hosts")
+    rows = by_host.agg(F.sum("rows")).first()[0] or 0
     add = lambda *keys: by_host.groupBy(*keys).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(n)])
     total = add().select(F.array(*[(F.coalesce(F.col(f"v{i}"), F.lit(0.0)) + 1) for i in range(n)]).alias("v"))
     overall = F.transform("v", lambda x: x / F.aggregate("v", F.lit(0.0), lambda a, y: a + y))
@@ -167,10 +172,12 @@ def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
     smooth = lambda prior: [(F.col(f"v{i}") + WEIGHT * prior[i]) / (sum(F.col(f"v{j}") for j in range(n)) + WEIGHT) for i in range(n)]
     domains = add("domain").where("domain IS NOT NULL").select(F.col("domain").alias("d"), F.array(*smooth([F.lit(x) for x in base])).alias("p_domain"))
     hosts = by_host.where("host IS NOT NULL").join(domains, F.col("domain") == F.col("d"))
-    hosts = hosts.select(F.col("host").alias("h"), F.array(*smooth([F.col("p_domain")[i] for i in range(n)])).alias("prior"))
+    hosts = hosts.select(F.col("host").alias("h"), F.array(*smooth([F.col("p_domain")[i] for i in range(n)])).alias("prior"), "rows")
     hosts = written(hosts, "priors")
     logs = F.zip_with("likelihood", F.coalesce("prior", F.array(*map(F.lit, base))), lambda l, p: l + F.log(p))
-    scored = found.join(hosts, F.col("host") == F.col("h"), "left").select("key", "lettered", logs.alias("logs"))
+    named = join_skewed(found.where("host IS NOT NULL"), hosts, F.col("host") == F.col("h"), "rows", rows).select("key", "lettered", "likelihood", "prior")
+    bare = found.where("host IS NULL").select("key", "lettered", "likelihood", F.lit(None).cast("array<double>").alias("prior"))
+    scored = named.unionByName(bare).select("key", "lettered", logs.alias("logs"))
     scored = scored.select("key", "lettered", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("e"))
     best = F.array_position("e", F.array_max("e")).cast("int")
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
@@ -199,8 +206,10 @@ def identify_pages(pages: DataFrame, model) -> DataFrame:
 
 def only_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected; columns unchanged."""
-    bad = written(identify_documents(docs).where("NOT keep").select(F.col("key.h").alias("_key")).distinct(), "rejected")
-    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["_key"], "left_anti")
+    bad = identify_documents(docs).where("NOT keep").select(F.col("key.doc_id").alias("_doc"), F.col("key.h").alias("_key"))
+    bad = written(bad.distinct(), "rejected")
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_key"))
+    return docs.join(bad, same, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
