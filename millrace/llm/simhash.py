@@ -6,15 +6,19 @@ compared bit-sliced: block columns of 64 fingerprints stand as bit planes, one w
 64 bit places, a query's distances to all of them grow in carry-save counters word by word, and a
 column is left as soon as all of its distances exceed the radius.
 
-Skew: a key with more than TILE fingerprints is cut into tiles by hash, and each pair of tiles is
-a task's work of its own; nothing is dropped. A tile pair reports a spanning forest of its links.
+Skew: two fingerprints of a key with more than TILE of them, which agree in two blocks, differ in RADIUS bits
+of the other bits at most, so they also agree in one of RADIUS + 1 pieces of those: such a key is dealt
+out anew by each piece. A key that stays larger is cut into tiles by hash, and each pair of tiles is a
+task's work of its own; nothing is dropped. A tile pair reports a spanning forest of its links, by rounds
+over whole arrays.
 Rows get their component by a join that broadcasts the few fingerprints of many rows.
 
 With a similarity (one_of_each), linked texts also have that Jaccard similarity of shingle sets. The
 radius this takes is too wide for bit blocks to prune (at 18, 190 tables of 6 bits), so the keys are a
 set's SAMPLE least shingle hashes: two sets of similarity s share none of them with probability
 (1 - s) ** SAMPLE. Sets of a key within the radius, and of sizes that allow the similarity, are
-candidates, compared bit-sliced; all sets of a candidate component are then compared exactly.
+candidates, compared bit-sliced; the sets of a candidate component are then compared exactly, from pivots: as
+Jaccard's distance is a metric, sets near a pivot have no link to sets over twice as far from it.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than
 a shingle: the whole sequence is the shingle; repeated rows: repeated results, null ids: never the
@@ -23,6 +27,7 @@ least unless all are null; empty table: no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -94,8 +99,8 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.reshape(columns, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
-def within(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all j in low[i]..high[i]-1 with fps[i] and fps[j] within radius of each other.
+def within(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some at a time, (i, j) of all j in low[i]..high[i]-1 with fps[i] and fps[j] within radius of each other.
 
     Work goes on for (i, column) pairs, a column being 64 consecutive fingerprints; those whose
     distances all exceed the radius are left.
@@ -103,8 +108,7 @@ def within(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> t
     sliced, width = planes(fps), max(1, radius.bit_length())
     first, last = low >> 6, (high + 63) >> 6
     count = np.where(high > low, last - first, 0)
-    found_i, found_j = [], []
-    for rows in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(np.cumsum(count) >> 18)) + 1):
+    for rows in np.split(np.arange(len(fps)), np.flatnonzero(np.diff(np.cumsum(count) >> 16)) + 1):
         n = count[rows]
         q = np.repeat(rows, n)
         if not len(q):
@@ -125,11 +129,9 @@ def within(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> t
                     counter = [x[keep] for x in counter]
                 if not len(q):
                     break
-        pair, place = np.nonzero((~over[:, None] >> BITS) & ONE)
-        found_i.append(q[pair])
-        found_j.append(c[pair] * 64 + place)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+        for at in range(0, len(q), 1 << 14):
+            pair, place = np.nonzero((~over[at : at + (1 << 14), None] >> BITS) & ONE)
+            yield q[at + pair], c[at + pair] * 64 + place
 
 
 def _below(k: np.ndarray) -> np.ndarray:
@@ -149,31 +151,34 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return np.zeros_like(counter[0]) | above
 
 
-def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that span the components which within() finds, of pairs whose sizes allow the similarity."""
-    at, to = within(fps, low, high, radius)
-    if sizes is not None:
-        fit = np.minimum(sizes[at], sizes[to]) / np.maximum(sizes[at], sizes[to]) >= similarity
-        at, to = at[fit], to[fit]
-    return _tree(at, to)
 
-
-def _tree(at: np.ndarray, to: np.ndarray) -> list[tuple[int, int]]:
-    """Those of the links (at, to) that join two components."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while (y := root.get(x, x)) != x:
-            root[x] = x = root.get(y, y)
-        return x
-
-    out = []
-    for i, j in zip(at.tolist(), to.tolist(), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    def pairs():
+        for at, to in within(fps, low, high, radius):
+            if sizes is not None:
+                fit = np.minimum(sizes[at], sizes[to]) >= similarity * np.maximum(sizes[at], sizes[to])
+                at, to = at[fit], to[fit]
+            yield at, to
+
+    return spanned(len(fps), pairs())
+
+
+def spanned(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of n nodes with these links, each node that isn't the least of its component, and that least node."""
+    root = np.arange(n)
+    for at, to in pairs:
+        while True:
+            a, b = root[at], root[to]
+            apart = a != b
+            if not apart.any():
+                break
+            at, to, a, b = at[apart], to[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := root[root], root):
+                root = up
+    hung = np.flatnonzero(root != np.arange(n))
+    return hung, root[hung]
 
 
 def block_masks(radius: int) -> list[int]:
@@ -190,11 +195,25 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) fingerprints that span the link graph of the distinct fps (column fp)."""
-    masks = [_signed(m) for m in block_masks(radius)]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    masks = block_masks(radius)
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    hot = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("t", "key"), "hot")
+    if not hot.isEmpty():
+        # the bits outside the key's blocks, in radius + 1 pieces of which one at least agrees
+        pieces = [[_signed(m | p) for p in _pieces_of(~m & (1 << 64) - 1, radius + 1)] for m in masks]
+        again = F.posexplode(F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in pieces]), F.col("t") + 1)).alias("piece", "mask")
+        split = keyed.join(hot, ["t", "key"], "left_semi").select("fp", "t", again)
+        split = split.select("fp", (F.lit(len(masks)) + F.col("t") * (radius + 1) + F.col("piece")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        keyed = keyed.join(hot, ["t", "key"], "left_anti").select("fp", "t", "key").unionByName(split)
     return _compared(keyed, parts(fps), radius, ROWS)
 
 
+def _pieces_of(mask: int, n: int) -> list[int]:
+    """The bits of a mask in n pieces of nearly equal size."""
+    bits = [i for i in range(64) if mask >> i & 1]
+    return [sum(1 << i for i in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
 def set_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(a, b) sets (node, fp, size, sample) that span the candidates for the similarity."""
     keyed = sets.select("fp", F.lit(0).alias("t"), F.explode("sample").alias("key"), "node", "size")
@@ -249,9 +268,9 @@ def _spanning(cols: list[np.ndarray], radius: int, similarity: float = 0) -> pa.
     low = np.where(i == j, here + 1, second)
     high = np.where((i == j) | (own == i), end, 0)
     fps = fp.view(np.uint64)
-    at = np.array(forest(fps, low, high, radius, more[1] if more else None, similarity), np.int64).reshape(-1, 2)
+    at, to = forest(fps, low, high, radius, more[1] if more else None, similarity)
     node = more[0] if more else fp
-    return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[to])], ["a", "b"])
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -271,25 +290,48 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, size int, sample array<long>")
 
 
-def exact(sets: list[np.ndarray], cut: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) that span the pairs of sets whose Jaccard similarity suffices; with a cut, pairs across it alone."""
+def exact(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that span the components of the pairs of sets whose Jaccard similarity suffices.
+
+    A pivot is compared with all sets left. Those near it link to it and need no comparison with each other,
+    nor with sets of a similarity to the pivot under 2 * similarity - 1, which are over twice as far; those
+    in between are compared with the near ones until each has a link or none. Then the pivot and the near
+    ones are done with.
+    """
     count = np.array([len(s) for s in sets])
     start = np.append(0, np.cumsum(count))
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     held = np.repeat(np.arange(len(sets)), count)[np.argsort(token, kind="stable")]
     first = np.append(0, np.cumsum(np.bincount(token)))
-    at, to = [], []
-    for x in range(cut or len(sets)):
+
+    def alike(x):
         t = token[start[x] : start[x + 1]]
         n = first[t + 1] - first[t]
         both = np.bincount(held[np.repeat(first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
-        y = np.flatnonzero(both / (count[x] + count - both) >= similarity)
-        y = y[y >= (cut or x + 1)]
-        at.append(np.full(len(y), x))
-        to.append(y)
-        if len(y) == len(sets) - 1 - x == len(sets) - 1:
-            break  # the first is similar to all others
-    return _tree(np.concatenate(at), np.concatenate(to))
+        return both / np.maximum(count[x] + count - both, 1)
+
+    left, links = np.ones(len(sets), bool), []
+    for pivot in range(len(sets)):
+        if not left[pivot]:
+            continue
+        left[pivot] = False
+        s = alike(pivot)
+        near = np.flatnonzero(left & (s >= similarity))
+        ring = np.flatnonzero(left & (s < similarity) & (s >= 2 * similarity - 1 - 1e-9))
+        links += [(pivot, y) for y in near.tolist()]
+        left[near] = False
+        if len(ring) <= len(near):
+            for z in ring.tolist():
+                found = near[alike(z)[near] >= similarity]
+                links += [(int(found[0]), z)] if len(found) else []
+        else:
+            for y in near.tolist():
+                if not len(ring):
+                    break
+                linked = alike(y)[ring] >= similarity
+                links += [(y, z) for z in ring[linked].tolist()]
+                ring = ring[~linked]
+    return links
 
 
 def similar_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -309,10 +351,10 @@ def similar_links(docs: DataFrame, members: DataFrame, width: int, similarity: f
     placed = placed.repartition(parts(docs), *order).sortWithinPartitions(*order, "own")
 
     def links_of(key, rows):
-        cut = 0 if key[1] == key[2] else sum(own == key[1] for own, _, _ in rows)
-        if len(rows) < 2 or key[1] != key[2] and cut in (0, len(rows)):
+        # a pair of tiles of which one is empty has no more links than the other tile alone
+        if len(rows) < 2 or key[1] != key[2] and len({own for own, _, _ in rows}) < 2:
             return []
-        return [(rows[x][1], rows[y][1]) for x, y in exact([s for _, _, s in rows], cut, similarity)]
+        return [(rows[x][1], rows[y][1]) for x, y in exact([s for _, _, s in rows], similarity)]
 
     def run(batches):
         key, held = None, []

@@ -116,7 +116,7 @@ def test_bit_sliced_comparison_over_tiles(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << i) for i in range(0, 40, 3)], base ^ np.uint64(5)]))
-    i, j = simhash.within(fps, np.arange(len(fps)) + 1, np.full(len(fps), len(fps)), 2)
+    i, j = (np.concatenate(x) for x in zip(*simhash.within(fps, np.arange(len(fps)) + 1, np.full(len(fps), len(fps)), 2), strict=True))
     want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if int(fps[a] ^ fps[b]).bit_count() <= 2}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
     monkeypatch.setattr(simhash, "TILE", 4)
