@@ -6,19 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value: list[str], prefix: str = "asof_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value: list[str], prefix: str = "asof_", bucket: str = "day") -> DataFrame:
     """Each left row with the columns `value` of the latest right row of the same keys at or before its time.
 
-    One shuffle by key: both sides are tagged and united, and a running last_value carries the right
-    row on. Nothing is paired, so a hot key costs a sort, not a product.
+    Both sides are tagged, united and dealt out by key and bucket of time, so a hot key has a task for each
+    bucket. Within a bucket a running last_value carries the right row on; what a bucket starts with comes
+    from a scan over one row a bucket, the last right row of each. Of right rows of one time the greatest counts.
     """
     keep = left.columns
     tagged = left.withColumns({"_side": F.lit(1), "_right": F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType)})
     other = right.select(*by, time, F.lit(0).alias("_side"), F.struct(*value).alias("_right"))
-    both = tagged.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = tagged.unionByName(other, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, time))
+    ends = both.groupBy(*by, "_bucket").agg(F.max(F.when(F.col("_side") == 0, F.struct(time, "_right"))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(before)["_right"].alias("_start"))
+    w = Window.partitionBy(*by, "_bucket").orderBy(time, "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
     latest = both.withColumn("_latest", F.last_value("_right", F.lit(True)).over(w)).where("_side = 1")
-    return latest.select(*keep, *[F.col("_latest")[v].alias(prefix + v) for v in value])
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_at"), "_start")
+    same = F.col("_bucket").eqNullSafe(F.col("_at"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    found = F.coalesce("_latest", "_start")
+    return latest.join(starts, same, "left").select(*keep, *[found[v].alias(prefix + v) for v in value])
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, other: str, seconds: int) -> DataFrame:
+    """Rows of equal keys `by` with at <= other <= at + seconds, for columns whose names differ but for `by`.
+
+    An equi join on keys and time buckets of that length: a left row stands in its own bucket and the next, a
+    right row in its own alone, so a hot key is split by time and no pair is met twice.
+    """
+    number = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1_000_000))
+    l = left.withColumn("_b", F.explode(F.array(number(at), number(at) + 1)))
+    r = right.withColumn("_b", number(other))
+    end = F.col(at) + F.make_dt_interval(secs=F.lit(seconds))
+    return l.join(r, [*by, "_b"]).where((F.col(other) >= F.col(at)) & (F.col(other) <= end)).drop("_b")
 
 
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import udfs, vectors
 from ..operators import grouping, joins, search
-from ..session import load
+from ..session import load, scratch
 from ..sources import files
 from ..streaming import windows as st
 from .registry import ORACLE, QUERIES
@@ -32,6 +30,24 @@ def join_asof(spark, d):
     return joins.asof_join(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), ["user_id"], "ts", ["event_id"]).select("event_id", "asof_event_id")
 
 
+@frame("join_interval", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '1' HOUR AND a.event_id < b.event_id")
+def join_interval(spark, d):
+    (e,) = load(spark, d, "events")
+    a = e.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("a_ts"))
+    b = e.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("b_ts"))
+    return joins.interval_join(a, b, ["user_id"], "a_ts", "b_ts", 3600).where("a < b").select("a", "b")
+
+
+@frame("agg_quantile", "SELECT event_type, round(quantile_cont(value, 0.9), 6) AS q FROM events GROUP BY event_type")
+def agg_quantile(spark, d):
+    return grouping.percentile(load(spark, d, "events")[0], ["event_type"], "value", 0.9, "q").select("event_type", F.round("q", 6).alias("q"))
+
+
+@frame("agg_median", "SELECT event_type, round(median(value), 6) AS m FROM events GROUP BY event_type")
+def agg_median(spark, d):
+    return grouping.percentile(load(spark, d, "events")[0], ["event_type"], "value", 0.5, "m").select("event_type", F.round("m", 6).alias("m"))
+
+
 @frame("join_range", """SELECT p_partkey, lo FROM part JOIN (SELECT CAST(r_regionkey * 300 AS DOUBLE) AS lo, CAST(r_regionkey * 300 + 450 AS DOUBLE) AS hi FROM region) b
   ON p_retailprice >= lo AND p_retailprice < hi""")
 def join_range(spark, d):
@@ -125,30 +141,51 @@ def agg_approx(spark, d):
     return e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.percentile_approx("value", 0.5).alias("median"))
 
 
-@frame("doc_near_dedup")
+@frame("agg_approx_bounds", "SELECT DISTINCT event_type, true AS users_close, true AS median_close FROM events")
+def agg_approx_bounds(spark, d):
+    """Whether the approximations of agg_approx keep their bounds: 10 % of the distinct users, two hundredths of the median's rank."""
+    e = load(spark, d, "events")[0]
+    near = agg_approx(spark, d).withColumnRenamed("event_type", "t")
+    exact = e.join(near, F.col("event_type") == F.col("t")).groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("n"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("up_to"),
+        F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.first("users").alias("users"),
+    )
+    return exact.select("event_type", (F.abs(F.col("users") - F.col("n")) <= 0.1 * F.col("n")).alias("users_close"), ((F.col("up_to") >= 0.48) & (F.col("below") <= 0.52)).alias("median_close"))
+
+
+@frame("doc_near_dedup", """WITH t AS (SELECT min(doc_id) AS id, list_distinct(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+')) AS w FROM documents GROUP BY coalesce(text, '')),
+  s AS (SELECT id, w, len(w) AS n FROM t),
+  p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, len(list_intersect(x.w, y.w)) AS shared FROM s x JOIN s y ON x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1)
+  SELECT a, b, round(1 - CAST(shared AS DOUBLE) / (n - shared), 4) AS dist FROM p WHERE 1 - CAST(shared AS DOUBLE) / (n - shared) < 0.2""")
 def doc_near_dedup(spark, d):
-    """MinHash LSH over hashed words: pairs under a Jaccard distance of 0.2 (hash tables shuffle by bucket)."""
+    """Pairs of texts whose sets of words are within a Jaccard distance of 0.2: MinHash LSH finds candidates, the sets decide.
+
+    A pair at the distance shares none of the 8 hashes with probability 0.2 ** 8. Null texts are empty ones.
+    """
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    docs = load(spark, d, "documents")[0]
+    docs = load(spark, d, "documents")[0].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # of equal texts one stands for all, so a group of copies is not joined with itself
-    w = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.split(F.lower("text"), r"\s+").alias("words"))
+    w = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.array_distinct(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+")).alias("words"))
     v = HashingTF(inputCol="words", outputCol="v", numFeatures=1 << 18, binary=True).transform(w)
-    m = MinHashLSH(inputCol="v", outputCol="h", numHashTables=4, seed=42).fit(v)
-    p = m.approxSimilarityJoin(v, v, 0.2, "dist").where("datasetA.doc_id < datasetB.doc_id")
-    return p.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), F.round("dist", 4).alias("dist"))
+    m = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=42).fit(v)
+    near = m.approxSimilarityJoin(v, v, 0.25, "near").where("datasetA.doc_id < datasetB.doc_id")
+    both = F.size(F.array_intersect("datasetA.words", "datasetB.words")).cast("double")
+    dist = 1 - both / (F.size("datasetA.words") + F.size("datasetB.words") - both)
+    p = near.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), dist.alias("dist")).where("dist < 0.2")
+    return p.select("a", "b", F.round("dist", 4).alias("dist"))
 
 
-@frame("udf_pandas", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net FROM lineitem GROUP BY l_returnflag")
+@frame("udf_pandas", "SELECT l_returnflag, sum(l_extendedprice * (1 - l_discount)) AS net FROM lineitem GROUP BY l_returnflag")
 def udf_pandas(spark, d):
     x = load(spark, d, "lineitem")[0].select("l_returnflag", udfs.net_price()("l_extendedprice", "l_discount").alias("p"))
-    return x.groupBy("l_returnflag").agg(F.round(F.sum("p"), 2).alias("net"))
+    return x.groupBy("l_returnflag").agg(F.sum("p").alias("net"))
 
 
 @frame("udaf", "SELECT event_type, round(exp(avg(ln(value))), 4) AS g FROM events WHERE value > 0 GROUP BY event_type")
 def udaf(spark, d):
     e = load(spark, d, "events")[0].where("value > 0")
-    return e.groupBy("event_type").agg(udfs.geometric_mean()("value").alias("g")).select("event_type", F.round("g", 4).alias("g"))
+    return udfs.geometric_mean(e, "event_type", "value").select("event_type", F.round("g", 4).alias("g"))
 
 
 @frame("udf_grouped", "SELECT c_nationkey, CAST(round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS DOUBLE) AS d FROM customer")
@@ -181,8 +218,7 @@ def _through(fmt: str):
     """Writes nation in a format and reads it back."""
 
     def run(spark, d):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-")
-        path = f"{base}/sink_{fmt}_{spark.sparkContext.applicationId}"
+        path = scratch(spark, f"sink-{fmt}")
         n = load(spark, d, "nation")[0]
         if fmt == "text":
             files.write(n.select(F.to_json(F.struct("*")).alias("value")), path, fmt, "overwrite")
@@ -199,15 +235,29 @@ for _fmt in ("csv", "json", "orc", "text", "xml"):
 
 @frame("sink_partitioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
 def sink_partitioned(spark, d):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    path = f"{base}/sink_parts_{spark.sparkContext.applicationId}"
+    path = scratch(spark, "sink-parts")
     files.write(load(spark, d, "nation")[0], path, mode="overwrite", by=["n_regionkey"])
     return files.read(spark, path).where("n_regionkey = 1").select("n_nationkey", "n_name", "n_regionkey")
 
 
-@frame("scan_binary")
+@frame("join_bucketed", "SELECT o_custkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def join_bucketed(spark, d):
+    """Two tables written in buckets of the join key: the join of what is read back has no shuffle."""
+    orders, lines = load(spark, d, "orders", "lineitem")
+    o = files.write_bucketed(orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], 8)
+    l = files.write_bucketed(lines.select("l_orderkey"), ["l_orderkey"], 8)
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@frame("scan_binary", "SELECT CAST(count(*) AS BIGINT) AS names, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha FROM nation GROUP BY n_regionkey HAVING count(*) > 0")
 def scan_binary(spark, d):
-    return spark.read.format("binaryFile").load(f"{d}/nation.parquet").select("length", F.sha2("content", 256).alias("sha"))
+    """Whole files as bytes: one for each region, with the names of its nations a line each."""
+    path = scratch(spark, "sink-binary")
+    n = load(spark, d, "nation")[0].select("n_regionkey", F.col("n_name").alias("value"))
+    files.write(n.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "value"), path, "text", by=["n_regionkey"])
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
+    return found.select(lines.cast("long").alias("names"), F.sha2("content", 256).alias("sha"))
 
 
 @frame("scan_ext")
@@ -247,6 +297,5 @@ def st_join(spark, d):
 
 @frame("st_state", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def st_state(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = st.drain(st.running_counts(st.event_stream(spark, d)), "update")
     return out.groupBy("user_id").agg(F.max("n").alias("n"))

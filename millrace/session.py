@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,30 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers the named tables as temporary views for SQL plans."""
     for n in names or TABLES:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a new one of this machine."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not given:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        given = sc.getCheckpointDir()
+    return given.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace-{what}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean
+        pass

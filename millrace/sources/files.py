@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch
+
 #: Formats that Spark itself reads and writes.
 BUILT_IN = ("parquet", "orc", "csv", "json", "text", "xml", "binaryFile")
 #: Formats of external packages.
@@ -31,6 +35,12 @@ def available(spark: SparkSession, fmt: str) -> bool:
     return True
 
 
-def write_bucketed(df: DataFrame, table: str, by: list[str], buckets: int) -> None:
-    """A bucketed table: later joins and aggregations on the columns need no shuffle."""
-    df.write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite").saveAsTable(table)
+def write_bucketed(df: DataFrame, by: list[str], buckets: int, table: str | None = None) -> DataFrame:
+    """A table written in buckets and read back: joins and aggregations on the columns need no shuffle.
+
+    Without a name it is a table of this session, dropped when the driver ends.
+    """
+    name = table or f"bucketed_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite")
+    (writer if table else writer.option("path", scratch(df.sparkSession, name))).saveAsTable(name)
+    return df.sparkSession.table(name)

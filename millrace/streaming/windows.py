@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import scratch
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """events as a stream; ts becomes a zoned timestamp, as watermarks need one."""
@@ -18,13 +17,39 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
     return raw.parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Keyed state of any kind needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and returns the result table (memory sink: for bounded results)."""
-    spark, name = df.sparkSession, f"s_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what there is and returns the result table, written in the shared folder.
+
+    append: a Parquet sink. update, complete: each batch has a folder of its own, so a batch that is run
+    again replaces itself; update gives all batches' rows, complete those of the last.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "stream")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{path}/out").start()
+        else:
+            query = writer.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    out = spark.read.schema(df.schema if mode == "append" else f"{_ddl(df)}, batch int").parquet(f"{path}/out")
+    if mode == "append":
+        return out
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def _bounds(df: DataFrame, window: str = "window") -> DataFrame:
