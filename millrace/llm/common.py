@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, scratch
+
 #: What separates words: the ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch handed to a Python worker, so that long texts cannot pile up.
@@ -40,34 +40,42 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a new one."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not given:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
-        given = sc.getCheckpointDir()
-    return given.rstrip("/")
+_made: list[list[str]] = []
 
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
-    The copy outlives lost executors. It is removed when the driver ends.
+    The copy outlives lost executors. It is removed when the driver ends, or sooner by settled() or replaced().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def replaced(old: DataFrame, new: DataFrame, what: str) -> DataFrame:
+    """written(new), after which the copy that old is read from goes; nothing else may read it any more."""
+    out = written(new, what)
+    remove(old.sparkSession, old._written)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """written(make()), after which all copies go that make() has written on its way."""
+    _made.append([])
     try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder is the cluster's to clean
-        pass
+        df = make()
+    finally:
+        own = _made.pop()
+    out = written(df, what)
+    for path in own:
+        remove(out.sparkSession, path)
+    return out
 
 
 def join_skewed(rows: DataFrame, table: DataFrame, on: Column, count: str, total: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star rounds: each round hangs the neighbours of a node on the least
 node among them, and a few rounds turn every component into a star. State is a table of links in the
-shared folder, written each round; the driver sees counts alone.
+shared folder, written each round in place of the last; the driver sees counts alone.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import replaced, written
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: neighbours below u, and u, hang on the least of them
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(_star(small), "links")
+        e = replaced(e, _star(small), "links")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
             break

@@ -16,8 +16,8 @@ that, so that a group with a third of all rows is no task's own.
 Bounds: the histogram has at most as many rows per source as there are sizes; the table of sources is
 put in order in one task.
 
-Defined results: null text: size 0; null source: a source of its own, the last; documents of size 0
-take one copy, of no words; repeated rows: each counts; empty table: no rows; a target of twice the
+Defined results: null text: size 0; null source: a source of its own, the last; texts of any length are
+counted whole; documents of size 0 take one copy, of no words; ties of size: by a hash of id and text; repeated rows: each counts; empty table: no rows; a target of twice the
 source's size: two copies of each; columns beside doc_id, source and text are ignored.
 """
 
@@ -26,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_skewed, written
+from .common import WORD, join_skewed, replaced, written
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-STEPS, CLOSE, BLOCK = 60, 1e-9, 2000
+STEPS, CLOSE, SURE, BLOCK = 60, 1e-9, 1e-6, 2000  # SURE: what a share of a target may be missed by at most
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -88,9 +88,12 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> D
         newton = F.col("lam") - (F.col("got") - F.col("target")) / F.greatest(F.col("slope"), F.lit(1e-300))
         inside = (newton > F.col("low")) & (newton < F.col("high"))
         step = F.when(F.col("miss") <= CLOSE, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(sums.withColumn("lam", step).select(state.columns), "tilts")
+        state = replaced(state, sums.withColumn("lam", step).select(state.columns), "tilts")
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= CLOSE:
             break
+    else:
+        if state.agg(F.max("miss")).first()[0] > SURE:
+            raise RuntimeError(f"the tilts did not come within {SURE} of their targets in {STEPS} steps")
     # nine digits, so that the order of summation cannot change a rerun
     return state.withColumn("lam", F.round("lam", 9))
 

@@ -20,4 +20,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op9_url_filters": url_filter.ORACLE}
+ORACLE = {"op3_suffix_array_dedup": suffix_dedup.ORACLE, "op9_url_filters": url_filter.ORACLE}

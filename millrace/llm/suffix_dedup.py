@@ -579,5 +579,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ..
     return placed.groupBy("home").cogroup(covers.groupBy("home")).applyInArrow(run, ddl)
 
 
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+r AS (SELECT unnest(list_sort(list(doc_id * 4294967296 + p))[2:]) AS q FROM s GROUP BY k HAVING count(*) > 1),
+m AS (SELECT q // 4294967296 AS doc_id, q % 4294967296 AS p FROM r),
+f AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM m),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM f),
+c AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS e FROM i GROUP BY doc_id, k),
+g AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM c),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(e) AS last, sum(e - a) AS removed, count(*) AS spans FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, common, contamination, language_id, media, mixing, queries, simhash, suffix_dedup, token_counts, toxicity, url_filter
-from tests.oracle import SF, compare
+from tests.oracle import SF, check, compare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, home int"
 
@@ -251,6 +251,11 @@ def test_url_cascade_is_exact(spark):
     assert [f"k{i}" in cascade for i in range(3000)] == [i % 7 == 0 for i in range(3000)]
 
 
+def test_urls_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.url_verdicts(pages, url_filter.RULES).count() == 0
+
+
 def test_language_id(docs, empty, spark):
     out = queries.QUERIES["op5_language_id"](spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("lang").alias("declared"))
@@ -293,8 +298,7 @@ def test_chat_roles_over_chunks(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_oracle(spark, name):
-    got, want = compare(spark, queries.QUERIES[name], queries.ORACLE[name])
-    assert got == want
+    check(*compare(spark, queries.QUERIES[name], queries.ORACLE[name]))
 
 
 def test_pipeline(spark):
