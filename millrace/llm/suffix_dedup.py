@@ -50,7 +50,7 @@ from .common import arrow_schema, bound_batches, in_chunks, parts, raw_texts, st
 WIDTH, GRAM = 100, 32
 CHUNK, FLUSH, PLACE = 1 << 19, 1 << 18, (1 << 26) - 1
 #: Entries of a minimizer beyond which it is hot; bytes of a merge; rows of a bucket held before equal ones are put together.
-HOT, LIMIT, HELD = 4096, 1 << 20, 1 << 18
+HOT, LIMIT, HELD = 4096, 1 << 16, 1 << 18
 LAST = np.iinfo(np.int64).max  # what null ids count as
 MULT, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
