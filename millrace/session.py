@@ -60,6 +60,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path that Spark can reach."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path, if it and the session are still there."""
     try:

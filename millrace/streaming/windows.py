@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import scratch
+from ..session import exists, scratch
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -40,6 +40,8 @@ def drain(df: DataFrame, mode: str) -> DataFrame:
         query.awaitTermination()
     finally:
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    if not exists(spark, f"{path}/out"):  # no batch came
+        return spark.createDataFrame([], df.schema)
     out = spark.read.schema(df.schema if mode == "append" else f"{_ddl(df)}, batch int").parquet(f"{path}/out")
     if mode == "append":
         return out

@@ -134,6 +134,13 @@ def test_state_over_batches(spark, tmp_path):
     assert spark.conf.get(st.STORE, None) == before
 
 
+@pytest.mark.parametrize("mode", ["append", "update", "complete"])
+def test_streams_without_rows(spark, tmp_path, mode):
+    s = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").parquet(str(tmp_path))
+    out = st.drain(st.tumbling(s), mode)
+    assert out.count() == 0 and set(out.columns) == {"event_type", "n", "start_ts"}
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     class Sc:
         master = "spark://host:7077"
