@@ -158,21 +158,12 @@ def agg_approx_bounds(spark, d):
   p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, len(list_intersect(x.w, y.w)) AS shared FROM s x JOIN s y ON x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1)
   SELECT a, b, round(1 - CAST(shared AS DOUBLE) / (n - shared), 4) AS dist FROM p WHERE 1 - CAST(shared AS DOUBLE) / (n - shared) < 0.2""")
 def doc_near_dedup(spark, d):
-    """Pairs of texts whose sets of words are within a Jaccard distance of 0.2: MinHash LSH finds candidates, the sets decide.
-
-    A pair at the distance shares none of the 8 hashes with probability 0.2 ** 8. Null texts are empty ones.
-    """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
+    """Pairs of texts whose sets of words are within a Jaccard distance of 0.2, by banded MinHash. Null texts are empty ones."""
     docs = load(spark, d, "documents")[0].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # of equal texts one stands for all, so a group of copies is not joined with itself
-    w = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.array_distinct(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+")).alias("words"))
-    v = HashingTF(inputCol="words", outputCol="v", numFeatures=1 << 18, binary=True).transform(w)
-    m = MinHashLSH(inputCol="v", outputCol="h", numHashTables=8, seed=42).fit(v)
-    near = m.approxSimilarityJoin(v, v, 0.25, "near").where("datasetA.doc_id < datasetB.doc_id")
-    both = F.size(F.array_intersect("datasetA.words", "datasetB.words")).cast("double")
-    dist = 1 - both / (F.size("datasetA.words") + F.size("datasetB.words") - both)
-    p = near.select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), dist.alias("dist")).where("dist < 0.2")
+    w = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+").alias("words"))
+    dist = 1 - F.col("shared").cast("double") / F.col("united")
+    p = search.similar_sets(w, "doc_id", "words", 0.79).select("a", "b", dist.alias("dist")).where("dist < 0.2")
     return p.select("a", "b", F.round("dist", 4).alias("dist"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import udfs
-from millrace.operators import grouping, joins
+from millrace.operators import grouping, joins, search
 from millrace.session import scratch, shared_dir
 from millrace.sources import files
 from millrace.streaming import windows as st
@@ -51,6 +51,21 @@ def test_interval_join(spark):
     assert got == want and (500, 600) in got and (500, 601) not in got
 
 
+def test_similar_sets(spark):
+    rng = random.Random(5)
+    rows = [(0, []), (1, None), (2, ["x"]), (3, ["x", "x"]), (4, [None, "x"])]
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(5, 80))]
+        rows += [(10 + g * 5 + k, [x if rng.random() > 0.04 * k else f"w{rng.randrange(500)}" for x in base]) for k in range(5)]
+    got = {(r.a, r.b): r.shared / r.united for r in search.similar_sets(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 0.8).collect()}
+    want = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and a and b and (s := len(set(a) & set(b)) / len(set(a) | set(b))) >= 0.8:
+                want[i, j] = s
+    assert got == want and (2, 3) in got and len(got) > 20
+
+
 def test_combined_and_split_python_aggregates(spark):
     rows = [(i % 3 if i % 7 else None, float(i + 1)) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, v double").repartition(5)
