@@ -1,4 +1,4 @@
-"""Grouped operators: top rows of groups, sessions, two-stage aggregation."""
+"""Grouped operators: top rows of groups, two-stage aggregation."""
 
 from __future__ import annotations
 
@@ -12,13 +12,6 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def sessions(df: DataFrame, by: str, time: str, gap: str) -> DataFrame:
-    """user, start, end, n of sessions closed by a gap."""
-    s = F.session_window(F.col(time).cast("timestamp"), gap)
-    out = df.groupBy(by, s).agg(F.count("*").alias("n"))
-    return out.select(by, F.col("session_window.start").cast("timestamp_ntz").alias("start_ts"), F.col("session_window.end").cast("timestamp_ntz").alias("end_ts"), "n")
-
-
 def salted_count_distinct(df: DataFrame, by: list[str], column: str, salts: int = 32) -> DataFrame:
     """count(DISTINCT column) by group in two stages, so that a hot group is spread by its values."""
     salt = F.pmod(F.xxhash64(column), F.lit(salts))

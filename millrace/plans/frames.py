@@ -74,13 +74,6 @@ def topk_group(spark, d):
     return grouping.top_k(c, ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 3)
 
 
-@frame("time_session", """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
-  SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, k""")
-def time_session(spark, d):
-    return grouping.sessions(load(spark, d, "events")[0], "user_id", "ts", "6 hours")
-
-
 @frame("pivot", """SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS f, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS BIGINT) AS o FROM lineitem GROUP BY l_returnflag""")
 def pivot(spark, d):
     p = load(spark, d, "lineitem")[0].groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1)))
@@ -235,8 +228,10 @@ def sink_partitioned(spark, d):
 def join_bucketed(spark, d):
     """Two tables written in buckets of the join key: the join of what is read back has no shuffle."""
     orders, lines = load(spark, d, "orders", "lineitem")
-    o = files.write_bucketed(orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], 8)
-    l = files.write_bucketed(lines.select("l_orderkey"), ["l_orderkey"], 8)
+    orders, lines = orders.select("o_orderkey", "o_custkey"), lines.select("l_orderkey")
+    n = files.buckets_for(orders, lines)
+    o = files.write_bucketed(orders, ["o_orderkey"], n)
+    l = files.write_bucketed(lines, ["l_orderkey"], n)
     return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
@@ -271,7 +266,12 @@ def st_slide(spark, d):
     return st.drain(st.sliding(st.event_stream(spark, d)), "complete").select("start_ts", "n")
 
 
-@frame("st_session", ORACLE["time_session"].replace("min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts,", "min(ts) AS start_ts,"))
+SESSIONS = """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+  SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts, count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+@frame("st_session", SESSIONS.replace("min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts,", "min(ts) AS start_ts,"))
 def st_session(spark, d):
     return st.drain(st.session(st.event_stream(spark, d)), "complete").select("user_id", "start_ts", "n")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +37,29 @@ def available(spark: SparkSession, fmt: str) -> bool:
     return True
 
 
+BUCKET = 128 << 20  # bytes of a bucket
+
+
+def buckets_for(*tables: DataFrame, most: int = 100_000) -> int:
+    """How many buckets of BUCKET bytes hold the largest of these tables, by Spark's estimate of their sizes; a power of two."""
+    size = max(int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for t in tables)
+    return min(most, 1 << max(0, math.ceil(math.log2(max(1, size / BUCKET)))))
+
+
 def write_bucketed(df: DataFrame, by: list[str], buckets: int, table: str | None = None) -> DataFrame:
     """A table written in buckets and read back: joins and aggregations on the columns need no shuffle.
 
-    Without a name it is a table of this session, dropped when the driver ends.
+    Rows are dealt out by the columns before, so that each bucket is one file. Without a name it is a table of this session,
+    whose files go with the driver and whose entry goes with the session, or with the driver where that is still open.
     """
     name = table or f"bucketed_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite")
+    writer = df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite")
     (writer if table else writer.option("path", scratch(df.sparkSession, name))).saveAsTable(name)
+    if not table:
+        atexit.register(_drop, df.sparkSession, name)
     return df.sparkSession.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

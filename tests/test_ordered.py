@@ -1,0 +1,117 @@
+"""Windows over whole tables, and sessions of hot keys, against Python."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import ordered
+from millrace.plans import registry
+from tests.oracle import SF
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def table(spark, n, seed=1):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([None, 1, 1, 1, 1, 2, 3, 9]), rng.choice([None, *range(-5, 6)])) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "i int, o int, v int").repartition(3)
+
+
+def in_order(rows, down=False):
+    key = lambda r: (r[1] is not None, r[1] or 0)  # noqa: E731  nulls first, or last where descending
+    return sorted(sorted(rows, key=lambda r: r[0]), key=key, reverse=down) if not down else sorted(sorted(rows, key=lambda r: r[0]), key=lambda r: (r[1] is None, -(r[1] or 0)))
+
+
+@pytest.mark.parametrize("rows, size", [(1 << 16, 1 << 14), (10, 7), (4, 30)])
+def test_frames_and_running_aggregates(spark, rows, size):
+    own, df = table(spark, 90)
+    n = ordered.numbered(df, ["o", "i"], "rn", rows)
+    frames = {"s": (F.sum("v"), -2, 0), "m": (F.max("v"), -1, 3), "lag": (F.first("i"), -4, -4), "lead": (F.first("i"), 2, 2), "after": (F.count("v"), 1, 9)}
+    wide = ordered.framed(n, "rn", frames, size)
+    out = ordered.running(wide, "rn", {"total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "c": ("count", "v")}, size).collect()
+    put = in_order(own)
+    assert sorted((r.rn, r.i) for r in out) == [(k + 1, r[0]) for k, r in enumerate(put)]
+    part = lambda a, b: [r[2] for r in put[max(0, a) : max(0, b)] if r[2] is not None]
+    for r in out:
+        k = r.rn - 1
+        upto, near = part(0, k + 1), part(k - 2, k + 1)
+        assert r.s == (sum(near) if near else None) and r.m == max(part(k - 1, k + 4), default=None)
+        assert r.lag == (put[k - 4][0] if k >= 4 else None) and r["lead"] == (put[k + 2][0] if k + 2 < len(put) else None) and r.after == len(part(k + 1, k + 10))
+        assert r.total == (sum(upto) if upto else None) and (r.low, r.high, r.c) == (min(upto, default=None), max(upto, default=None), len(upto))
+
+
+@pytest.mark.parametrize("down", [False, True])
+@pytest.mark.parametrize("rows, size", [(1 << 16, 1 << 14), (4, 5)])
+def test_ranks(spark, rows, size, down):
+    own, df = table(spark, 70, 2)
+    got = {r.i: (r.rn, r.r, r.dr) for r in ordered.ranked(df, ["o DESC" if down else "o"], ["i"], rows, size).collect()}
+    put, seen = in_order(own, down), []
+    for k, r in enumerate(put):
+        if r[1] not in seen:
+            seen.append(r[1])
+            first = k + 1
+        assert got[r[0]] == (k + 1, first, len(seen))
+
+
+def test_ties_and_repeated_rows_are_split(spark):
+    df = spark.createDataFrame([(1, "x")] * 300 + [(2, "y")], "o int, t string")
+    got = ordered.numbered(df, ["o"], "rn", 20)
+    assert sorted(r.rn for r in got.collect()) == list(range(1, 302)) and got.where("rn = 301").first().t == "y"
+    many = ordered.numbered(spark.range(300).selectExpr("1 AS o", "id"), ["o"], "rn", 20)
+    assert len(many.inputFiles()) > 5  # one value of the order, and still several partitions
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "o int, i int, v int")
+    n = ordered.numbered(df, ["o"])
+    assert ordered.running(ordered.framed(n, "rn", {"s": (F.sum("v"), -1, 0)}), "rn", {"t": ("sum", "v")}).count() == 0
+    assert ordered.ranked(df, ["o"], ["i"]).count() == 0
+    with pytest.raises(ValueError, match="column o"):
+        ordered.numbered(df, ["o"], "o")
+
+
+@pytest.mark.parametrize("name", ["win_rows_global", "win_rank_global"])
+def test_no_single_partition(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" in plan
+
+
+def brute_sessions(rows, gap):
+    out, by = [], {}
+    for k, t in rows:
+        if t is not None:
+            by.setdefault(k, []).append(t)
+    for k, ts in by.items():
+        ts.sort()
+        own = [ts[0], ts[0], 0]
+        for t in ts:
+            if t > own[1] + gap:
+                out.append((k, own[0], own[1] + gap, own[2]))
+                own = [t, t, 0]
+            own[1], own[2] = t, own[2] + 1
+        out.append((k, own[0], own[1] + gap, own[2]))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("bucket", ["minute", "hour", "day", "year"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_sessions_of_a_hot_key(spark, bucket, kind):
+    rng = random.Random(3)
+    rows = [(1, T0 + dt.timedelta(minutes=10 * rng.randrange(4000))) for _ in range(400)]  # the hot one
+    rows += [(rng.choice([2, 3, None]), T0 + dt.timedelta(minutes=10 * rng.randrange(2000))) for _ in range(300)]
+    rows += [(4, T0), (4, T0 + dt.timedelta(hours=2)), (4, T0 + dt.timedelta(hours=4, microseconds=1)), (5, T0), (5, T0), (6, None), (4, None)]
+    rows += [(7, T0 + dt.timedelta(hours=h)) for h in range(0, 300)]  # one session over many buckets
+    df = spark.createDataFrame([(*r, "clash") for r in rows], f"u int, t {kind}, n string").repartition(4)
+    got = ordered.sessions(df, "u", "t", 7200, bucket)
+    assert got.columns == ["u", "start_ts", "end_ts", "n"]
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute_sessions(rows, dt.timedelta(hours=2))
+
+
+def test_sessions_are_dealt_out_by_bucket(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    hot = e.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
+    got = sorted(str(tuple(r)) for r in ordered.sessions(hot, "user_id", "ts", 6 * 3600).collect())
+    assert got == brute_sessions([(r.user_id, r.ts) for r in hot.select("user_id", "ts").collect()], dt.timedelta(hours=6))
+    assert ordered.sessions(hot.where("false"), "user_id", "ts", 60).count() == 0

@@ -50,11 +50,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_contamination_is_joined_by_a_word(spark):
-    plan = registry.QUERIES["doc_contamination"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert re.search(r"\(w#\d+ = k#\d+\)", plan)
-
-
 def test_bucketed_join_has_no_shuffle(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
