@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and an exact check.
 
 Every window of a document as long as an item, in words, gets a 64-bit SimHash of all its five-word
-shingles, those of no item included; a shingle votes with a weight by how rare it is among the items.
+shingles, those of no item included; each has one vote, so a window has one fingerprint, whatever the benchmark or its blocks.
 Running totals of the votes give each window's by one difference. The fingerprints of the items of each
 length are indexed by eight 8-bit blocks with NEAR bits allowed in each: fingerprints that differ by more
 in every block differ in over RADIUS bits, so a table from every block value to the items near it finds
@@ -39,7 +39,7 @@ WIDTH, LEAST, RADIUS = 5, 0.8, 21
 #: Bits in which a block may differ: RADIUS + 1 errors can't leave all blocks beyond these.
 NEAR = (2, 2, 2, 2, 2, 2, 1, 1)
 MOST_BYTES, PAIRS, SEGMENT, CHUNK = 8 << 20, 1 << 22, 1 << 12, 1 << 18
-VOTE, MARKS = 16, 20  # votes of a shingle of one item; bits of the table that tells most other shingles at once
+MARKS = 20  # bits of the table that tells most other shingles at once
 MULT, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -97,12 +97,11 @@ class Index:
             count = np.array([spread[h] for h in self.hash.view(np.int64).tolist()], np.int64)
         total = total or len(found)
         self.weight = np.log(1 + total / np.maximum(count, 1))
-        self.vote = np.maximum(1, np.round(self.weight * (VOTE / np.log(1 + max(1, total))))).astype(np.uint32)
         self.items = [(np.searchsorted(self.hash, h), n) for h, n in each]
         self.total = np.array([(self.weight[c] * n).sum() for c, n in self.items])
         self.marked = np.zeros(1 << MARKS, bool)
         self.marked[self.hash >> np.uint64(64 - MARKS)] = True
-        prints = [self.prints(h, self.vote[np.searchsorted(self.hash, h)], np.zeros(1, int), len(h))[0] for h in found]
+        prints = [self.prints(h, np.zeros(1, int), len(h))[0] for h in found]
         self.fingerprints = np.array(prints, np.uint64)
         self.sizes = np.unique(self.size)
         # of which lengths there are items that hold a shingle
@@ -119,14 +118,12 @@ class Index:
             self.near[size] = own, np.packbits(close, axis=2)
 
     @staticmethod
-    def prints(hashes: np.ndarray, votes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-        """Fingerprints of the windows of m shingles: the bits set in over half of the votes."""
+    def prints(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+        """Fingerprints of the windows of m shingles: the bits that over half of them have."""
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((len(hashes) + 1, 65), np.uint32)
-        np.cumsum(bits * votes[:, None], axis=0, out=sums[1:, :64])
-        np.cumsum(votes, out=sums[1:, 64])
-        window = sums[starts + m] - sums[starts]
-        return np.packbits(window[:, :64] * 2 > window[:, 64:], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        sums = np.zeros((len(hashes) + 1, 64), np.uint32)
+        np.cumsum(bits, axis=0, out=sums[1:])
+        return np.packbits((sums[starts + m] - sums[starts]) * 2 > m, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
     def candidates(self, prints: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(prints, items) of this length that are within RADIUS, told by a block that is near."""
@@ -177,8 +174,6 @@ class Index:
 
     def _segment(self, own: np.ndarray, k: int, at: np.ndarray, code: np.ndarray, first: int, best: dict) -> None:
         """own: hashes of a segment's shingles of k words; at, code: places and numbers of those that items have."""
-        votes = np.full(len(own), VOTE, np.uint32)
-        votes[at] = self.vote[code]
         for size in self.sizes[self.lengths[code].any(axis=0)].tolist():
             if min(WIDTH, size) != k:
                 continue
@@ -188,7 +183,7 @@ class Index:
             np.add.at(edge, np.maximum(at - m + 1, 0), 1)
             np.add.at(edge, at + 1, -1)
             starts = np.flatnonzero(np.cumsum(edge)[: len(own) - m + 1] > 0)
-            prints = self.prints(own, votes, starts, m)
+            prints = self.prints(own, starts, m)
             for w, i in self.candidates(prints, size):
                 order = np.lexsort((w, i))
                 for p in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(order) else []:

@@ -110,3 +110,18 @@ def test_long_texts_are_read_to_their_end(monkeypatch):
     deep = b"filler words here " * 50_000 + items[3][1] + b" and more" + b"x" * 2_000_000
     (found,) = index.search([deep])
     assert [(i, round(s, 9), p) for i, s, p, _ in found] == [(3, 1.0, 150_000)]
+
+
+@pytest.mark.parametrize("n", [2, 7])
+def test_shared_shingles_vote_alike_in_any_block(n):
+    """Items of one stock of phrases, so that most of their shingles stand in items of other blocks too; copies at the edge of the radius."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    stock = [" ".join(word() for _ in range(8)) for _ in range(60)]
+    items = [(i, " ".join([rng.choice(stock), rng.choice(stock), *(word() for _ in range(rng.randint(0, 12))), rng.choice(stock)]).encode()) for i in range(400)]
+    texts = [" ".join(w if rng.random() > 0.03 else word() for w in rng.choice(items)[1].decode().split()).encode() for _ in range(300)]
+    spread = Counter(h for _, t in items for h in np.unique(contamination.item_shingles(t)).view(np.int64).tolist())
+    found = lambda some: [set(own) for own in contamination.Index([i for i, _ in some], [t for _, t in some], spread, len(items)).search(texts)]
+    whole, parts = found(items), [found(items[k::n]) for k in range(n)]
+    assert sum(map(len, whole)) > 150
+    assert [set().union(*own) for own in zip(*parts, strict=True)] == whole
