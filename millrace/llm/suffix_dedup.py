@@ -5,7 +5,7 @@ strings always share a minimizer. Consecutive strings whose minimizer stands at
 string occurs twice in a run.
 
 1. Runs are dealt out by minimizer. A run whose minimizer stands nowhere else holds no repeat. Of runs
-   equal byte for byte (told by 128 bits of hashes) the first is kept as the dictionary's entry, and the
+   equal byte for byte (told by their minimizer and 64 bits of hashes of their ends and length) the first is kept as the dictionary's entry, and the
    others are repeats as a whole, as in prefix-free parsing.
 2. Dictionary entries whose minimizer others share too are fetched from the texts, a shard for each
    group of documents.
@@ -22,7 +22,7 @@ own bytes begin. A group of over HOT entries is split by the longest context the
 runs become single strings that are dealt out by 128 bits of hashes, and of equal ones the first stays. So no
 merge ever takes more than HOT entries of one minimizer, and no string is left out.
 
-Bounds: buckets follow the input's splits and the shuffle partitions; their rows stream by, and of equal
+Bounds: buckets follow the input's splits and the shuffle partitions, of which there are PARTITIONS at most; their rows stream by, and of equal
 ones only the first is held. Texts are hashed in pieces of CHUNK bytes, whatever their length, runs are
 collapsed FLUSH at a time before they are dealt out, and a merge takes whole minimizer groups up to about
 LIMIT bytes at a time, at 70 bytes of memory for each. Documents are dealt out by id and text, so only rows
@@ -30,7 +30,7 @@ equal in both meet in one task whatever their number.
 
 Defined results: null text: empty; texts under WIDTH bytes: nothing removed; null ids stand after all
 others, in order of the texts' crc32; ids are whole numbers; rows equal in id and text are one document and
-get the same result; rows that share an id only go by the text's crc32; empty table: no rows; other columns
+get the same result; rows that share an id only go by the text's crc32, and are told apart by 96 bits more; empty table: no rows; other columns
 are ignored.
 """
 
@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ WIDTH, GRAM = 100, 32
 CHUNK, FLUSH, PLACE = 1 << 19, 1 << 18, (1 << 26) - 1
 #: Entries of a minimizer beyond which it is hot; bytes of a merge; rows of a bucket held before equal ones are put together.
 HOT, LIMIT, HELD = 4096, 1 << 16, 1 << 18
+PARTITIONS = 1 << 14  # of a shuffle at most; further buckets share them and stream by one after the other
 LAST = np.iinfo(np.int64).max  # what null ids count as
 MULT, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -129,7 +131,7 @@ def string_hashes(data: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 #: A packet: parallel arrays of runs or of covered stretches (kind 1) on their way to a bucket.
 PACKET = "bucket int, kind int, doc binary, crc binary, start binary, length binary, low binary, high binary"
-DTYPES = (np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint64)
+DTYPES = (np.int64, np.dtype("S16"), np.uint32, np.uint32, np.uint64, np.uint64)
 RUN, COVER, SEND, SPLIT = 0, 1, 2, 3
 
 
@@ -156,7 +158,13 @@ def _bucket(low: np.ndarray, n: int) -> np.ndarray:
 
 def _home(doc: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
     """The bucket of a document."""
-    return _bucket(_mix((doc.astype(np.int64).view(np.uint64) + crc.astype(np.uint64) * OTHER) * MULT), n)
+    told = np.ascontiguousarray(crc, "S16").view(np.uint64).reshape(-1, 2)[:, 0]
+    return _bucket(_mix((doc.astype(np.int64).view(np.uint64) + told * OTHER) * MULT), n)
+
+
+def told_apart(texts: list[bytes]) -> np.ndarray:
+    """128 bits that tell texts of one id apart, in order of their crc32: it and 96 bits of another hash."""
+    return np.array([zlib.crc32(t).to_bytes(4, "big") + xxhash.xxh3_128_digest(t)[:12] for t in texts], "S16")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -200,7 +208,7 @@ def _find_runs(n: int, schema: pa.Schema, flush_at: int):
         for b in batches:
             ids = _ids(b.column(0))
             texts = raw_texts(b.column(1))
-            crcs = np.array([zlib.crc32(t) for t in texts], np.uint32)
+            crcs = told_apart(texts)
             for chunk in in_chunks(_pieces(texts), CHUNK, lambda x: len(x[2])):
                 t, start, length, low, high = text_runs([x[2] for x in chunk])
                 of, offset = (np.array([x[i] for x in chunk], np.int64)[t] for i in (0, 1))
@@ -314,9 +322,8 @@ def _entries(n: int, schema: pa.Schema):
     def run(docs: pa.Table, sends: pa.Table) -> pa.Table:
         if not sends.num_rows or not docs.num_rows:
             return schema.empty_table()
-        texts = {}
-        for i, t in zip(_ids(docs["doc_id"].combine_chunks()).tolist(), raw_texts(docs["text"].combine_chunks()), strict=True):
-            texts[i, zlib.crc32(t)] = t
+        whole = raw_texts(docs["text"].combine_chunks())
+        texts = dict(zip(zip(_ids(docs["doc_id"].combine_chunks()).tolist(), told_apart(whole).tolist(), strict=True), whole, strict=True))
         rows = list(zip(*(sends[c].to_pylist() for c in ("kind", "doc", "crc", "start", "length", "low", "high")), strict=True))
         shard, out = docs["home"][0].as_py(), []
 
@@ -526,17 +533,16 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = (), hot: int = HOT, limit:
 
     def homes(batches):
         for b in batches:
-            crc = np.array([zlib.crc32(t) for t in raw_texts(b.column(1))], np.uint32)
-            home = _home(_ids(b.column(0)), crc, n)
+            home = _home(_ids(b.column(0)), told_apart(raw_texts(b.column(1))), n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["doc_id", "text", *carry, "home"])
 
     more = "".join(f"{c} {whole.schema[c].dataType.simpleString()}, " for c in carry)
     placed = whole.mapInArrow(homes, f"doc_id long, text string, {more}home int")
-    runs = texts.mapInArrow(_find_runs(n, schema, FLUSH), PACKET).repartition(n, "bucket").sortWithinPartitions("bucket")
+    runs = texts.mapInArrow(_find_runs(n, schema, FLUSH), PACKET).repartition(min(n, PARTITIONS), "bucket").sortWithinPartitions("bucket")
     found = written(_by_bucket(runs, lambda: Runs(n, schema, held, hot), PACKET), "runs")
     sends = found.where(f"kind IN ({SEND}, {SPLIT})").withColumnRenamed("bucket", "home")
     entries = placed.groupBy("home").cogroup(sends.groupBy("home")).applyInArrow(_entries(n, entry_schema), ENTRIES)
-    covers = _by_bucket(entries.repartition(n, "bucket").sortWithinPartitions("bucket"), lambda: Entries(n, schema, held, limit), PACKET)
+    covers = _by_bucket(entries.repartition(min(n, PARTITIONS), "bucket").sortWithinPartitions("bucket"), lambda: Entries(n, schema, held, limit), PACKET)
     return placed, found.where(f"kind = {COVER}").unionByName(covers).withColumnRenamed("bucket", "home")
 
 
@@ -556,14 +562,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ..
             return schema.empty_table()
         doc, crc, start, length, *_ = unpack(list(zip(*(packed[c].to_pylist() for c in ("doc", "crc", "start", "length", "low", "high")), strict=True)))
         order = np.lexsort((crc, doc))
-        key = np.stack([doc[order], crc[order].astype(np.int64)], 1)
-        cut = np.append(0, np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1) if len(order) else np.zeros(0, int)
-        spans = {(int(doc[order[a]]), int(crc[order[a]])): order[a:b] for a, b in zip(cut, np.append(cut[1:], len(order))[: len(cut)], strict=True)}
-        ids = texts["doc_id"].combine_chunks()
+        d, c = doc[order], crc[order]
+        cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))[: len(order)])
+        spans = dict(zip(zip(d[cut].tolist(), c[cut].tolist(), strict=True), np.split(order, cut[1:]), strict=False))
+        ids, whole = texts["doc_id"].combine_chunks(), raw_texts(texts["text"].combine_chunks())
         out = []
-        for i, k, t in zip(ids.to_pylist(), _ids(ids).tolist(), raw_texts(texts["text"].combine_chunks()), strict=True):
-            c = zlib.crc32(t)
-            p = spans.get((k, c))
+        for i, k, own, t in zip(ids.to_pylist(), _ids(ids).tolist(), told_apart(whole).tolist(), whole, strict=True):
+            p = spans.get((k, own))
             kept, n_spans = t, 0
             if p is not None:
                 edge = np.zeros(len(t) + 1, np.int64)

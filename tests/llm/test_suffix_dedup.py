@@ -79,3 +79,24 @@ def test_strings_of_runs():
     at = [0, *range(100, 169), 268, 269, 270]
     alone = [suffix_dedup.string_hashes(data[a : a + 100], np.array([1])) for a in at]
     assert low.tolist() == [int(x[0][0]) for x in alone] and high.tolist() == [int(x[1][0]) for x in alone]
+
+
+def test_texts_of_one_crc32(spark):
+    """Null ids and shared ids: texts that crc32 can't tell apart are documents of their own."""
+    rng = random.Random(9)
+    passage, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (150, 400))
+    end = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    known = {zlib.crc32((t := passage + end()).encode()): t for _ in range(150_000)}
+    pairs = []
+    while len(pairs) < 3:
+        t = other + passage + end()
+        if (c := zlib.crc32(t.encode())) in known:
+            pairs.append((known[c], t))
+    rows = [(i, t) for i, pair in zip([None, None, 5], pairs, strict=True) for t in pair] + [(1, passage), (None, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(df).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+    # every string stays once: of the passage what begins in it, and the other once
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in got)
+    assert kept[0] == (False, 1, 150, 0) and all(r[3] >= 51 for r in kept if r[0] and r[2] == 159)
+    assert all(len(r.kept) == r.n_bytes - r.n_removed for r in got) and sum(r.n_removed for r in got) > 6 * 100
