@@ -12,8 +12,8 @@ Log posterior = log prior of the host + text likelihood + declared language + ad
 
 Bounds: the trigram tables are learned from TRAIN_ROWS declared documents a language, told by hash of
 the ids (a documented sample of labelled rows), summed on the executors to languages x BUCKETS
-counts, for the LANGUAGES languages that most documents declare, so the broadcast table is of 34 MB at most;
-another declared value is no evidence. Host priors stay a table; a hot host is one row of it after partial
+counts, for the LANGUAGES languages that most documents declare, so the broadcast table is of 34 MB at most. That is a limit
+of classes, well over the 183 languages that have two-letter codes; another declared value is no evidence. Host priors stay a table; a hot host is one row of it after partial
 aggregation, its rows take the prior by broadcast and rows without a host by none.
 
 A row is rejected where no language has over half of the posterior, or none of the known ones is the
@@ -159,29 +159,33 @@ def evidence(rows: DataFrame, languages: list[str], table: np.ndarray, html: boo
     return rows.select("key", "body", "declared", "host", "path").mapInArrow(run, f"key {kind}, host string, domain string, lettered boolean, likelihood array<double>, guess int")
 
 
+def _votes(votes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """keys, v (votes of each of n guesses as an array), rows (all of them), from counts by guess."""
+    some = votes.groupBy(*keys, "guess").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("m"), F.sum("n").alias("rows"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+    return some.withColumn("v", every).where("rows IS NOT NULL")
+
+
 def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
     """key, lang, posterior, keep: host priors by grouped aggregation, then the posterior."""
     n = len(languages) + 1
-    votes = [F.sum((F.col("guess") == i).cast("double")).alias(f"v{i}") for i in range(n)]
-    by_host = written(found.groupBy("host", "domain").agg(*votes, F.count("*").alias("rows")), "hosts")
-    rows = by_host.agg(F.sum("rows")).first()[0] or 0
-    add = lambda *keys: by_host.groupBy(*keys).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(n)])
-    total = add().select(F.array(*[(F.coalesce(F.col(f"v{i}"), F.lit(0.0)) + 1) for i in range(n)]).alias("v"))
-    overall = F.transform("v", lambda x: x / F.aggregate("v", F.lit(0.0), lambda a, y: a + y))
-    base = total.select(overall.alias("p")).first()[0]
-    smooth = lambda prior: [(F.col(f"v{i}") + WEIGHT * prior[i]) / (sum(F.col(f"v{j}") for j in range(n)) + WEIGHT) for i in range(n)]
-    domains = add("domain").where("domain IS NOT NULL").select(F.col("domain").alias("d"), F.array(*smooth([F.lit(x) for x in base])).alias("p_domain"))
-    hosts = by_host.where("host IS NOT NULL").join(domains, F.col("domain") == F.col("d"))
-    hosts = hosts.select(F.col("host").alias("h"), F.array(*smooth([F.col("p_domain")[i] for i in range(n)])).alias("prior"), "rows")
+    votes = written(found.groupBy("host", "domain", "guess").agg(F.count("*").alias("n")), "hosts")
+    base, rows = _votes(votes, [], n).select("v", "rows").first() or ([0.0] * n, 0)
+    base = [(x + 1) / (rows + n) for x in base]
+    # one array for all languages, however many; of a host or domain only the languages guessed are kept till then
+    smooth = lambda prior: F.zip_with("v", prior, lambda x, p: (x + WEIGHT * p) / (F.col("rows") + WEIGHT))
+    domains = _votes(votes.where("domain IS NOT NULL"), ["domain"], n).select(F.col("domain").alias("d"), smooth(F.lit(base)).alias("p_domain"))
+    hosts = _votes(votes.where("host IS NOT NULL"), ["host", "domain"], n).join(domains, F.col("domain") == F.col("d"))
+    hosts = hosts.select(F.col("host").alias("h"), smooth(F.col("p_domain")).alias("prior"), "rows")
     hosts = written(hosts, "priors")
-    logs = F.zip_with("likelihood", F.coalesce("prior", F.array(*map(F.lit, base))), lambda l, p: l + F.log(p))
+    logs = F.zip_with("likelihood", F.coalesce("prior", F.lit(base)), lambda l, p: l + F.log(p))
     named = join_skewed(found.where("host IS NOT NULL"), hosts, F.col("host") == F.col("h"), "rows", rows).select("key", "lettered", "likelihood", "prior")
     bare = found.where("host IS NULL").select("key", "lettered", "likelihood", F.lit(None).cast("array<double>").alias("prior"))
     scored = named.unionByName(bare).select("key", "lettered", logs.alias("logs"))
     scored = scored.select("key", "lettered", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("e"))
     best = F.array_position("e", F.array_max("e")).cast("int")
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    names = F.array(*map(F.lit, [*languages, NONE]))
+    names = F.lit([*languages, NONE])
     out = scored.select("key", "lettered", F.element_at(names, best).alias("lang"), (F.array_max("e") / total).alias("posterior"))
     return out.withColumn("keep", F.col("lettered") & (F.col("lang") != NONE) & (F.col("posterior") > 0.5)).drop("lettered")
 
