@@ -9,8 +9,8 @@ numbers the documents, and the pieces at block borders are summed by that number
 Bounds: a task holds one block; the scan's window holds one short row a block; only border pieces
 are shuffled, one or two a block.
 
-White space runs too long for the pattern's engine are encoded as the single pieces that the pattern makes of
-them, so texts of any length and kind get the tokens of the uncut encoding.
+Long white space runs are encoded as the single pieces that the pattern makes of them, which its engine would find in
+quadratic time, so texts of any length and kind get the tokens of the uncut encoding.
 
 Defined results: null or empty text: 0 tokens; ids are whole numbers; an unfinished last document is reported where it has
 tokens; empty table: no rows; repeated rows: repeated results; other columns are ignored.
@@ -32,8 +32,8 @@ from .common import bound_batches, raw_texts, written
 #: Fixed values of the public byte-level vocabulary: its pattern, and the id free for a separator.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
-#: White space as the pattern takes it, in runs whose length its engine might not stand.
-LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+#: White space as the pattern takes it, in runs of which its engine would try every length.
+LONG_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{64,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 18
 
@@ -47,7 +47,9 @@ def _encoder(ranks: bytes):
     key = hash(ranks)
     if key not in _encoders:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encoders[key] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        made = lambda pattern: tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        _encoders[key] = made(PATTERN)
+        _encoders[key].whole = made(r"[\s\S]+")  # takes a text as one piece
     return _encoders[key]
 
 
@@ -57,7 +59,7 @@ def encode(enc, text: str) -> list[int]:
     for m in LONG_RUN.finditer(text):
         end = m.end() - (m.end() < len(text))
         out += enc.encode_ordinary(text[at : m.start()])
-        out += enc._encode_single_piece(text[m.start() : end].encode())
+        out += enc.whole.encode_ordinary(text[m.start() : end])
         at = end
     return out + enc.encode_ordinary(text[at:]) if out or at else enc.encode_ordinary(text)
 

@@ -1,6 +1,7 @@
 """Token counts of long and odd texts."""
 
 import random
+import time
 
 import pytest
 
@@ -24,6 +25,17 @@ def test_long_runs_have_the_uncut_tokens(enc):
         assert token_counts.encode(enc, text) == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("run", [63, 64, 65, 250, 1000, 4000])
+@pytest.mark.parametrize("space", [" ", "\n", "\t ", "\u3000"])
+def test_runs_of_any_length_take_linear_time(enc, run, space):
+    text = "".join(f"word{i}{space * run}" for i in range(400_000 // (run * len(space)) + 1))
+    start = time.perf_counter()
+    ids = token_counts.encode(enc, text)
+    assert time.perf_counter() - start < 1.0 * max(0.4, len(text.encode()) / 1e6)
+    short = text[:20_000]
+    assert enc.decode(ids) == text and token_counts.encode(enc, short) == enc.encode_ordinary(short)
+
+
 @pytest.mark.parametrize("text", [" " * 5_000_000, "a" + " " * 5_000_000 + "b", "\n" * 3_000_000 + " x", "ab" * 1_000_000, "漢字" * 500_000, "12" * 500_000, "?!" * 500_000], ids=range(7))
 def test_texts_of_millions(enc, text):
     ids = token_counts.encode(enc, text)
