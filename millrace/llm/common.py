@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove, scratch
+from ..session import remove, scratch, ship
 
 #: What separates words: the ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,20 +19,9 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 HOT = 4096
 
 
-_shipped: set[str] = set()
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Readies the session for Python operators: Arrow batches bounded by rows and bytes, and the package on the workers."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        root = Path(__file__).resolve().parents[2]
-        name = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for f in (root / "millrace").rglob("*.py"):
-                z.write(f, f.relative_to(root))
-        sc.addPyFile(str(name))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
