@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import inequality, ordered, strings
-from ..session import load
-from .frames import SESSIONS, frame
+from ..functions import funnels, variants
+from ..operators import cells, inequality, ordered, sketches, strings
+from ..session import load, scratch
+from ..sources import files, shards
+from ..streaming import timers
+from ..streaming import windows as st
+from .frames import BEST, SESSIONS, frame
 
 
 @frame("join_inequality", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal < c_acctbal AND s_nationkey > c_nationkey")
@@ -79,3 +83,71 @@ def win_rank_global(spark, d):
 @frame("time_session", SESSIONS)
 def time_session(spark, d):
     return ordered.sessions(load(spark, d, "events")[0], "user_id", "ts", 6 * 3600)
+
+
+def _cells(spark, d, cosine: bool, name: str):
+    e = load(spark, d, "embeddings")[0]
+    best = cells.best_of_each(cells.build(e, "vec_id", "embedding", cosine), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return best.select("query_id", "vec_id", (F.round("score", 3) + F.lit(0.0)).alias(name))
+
+
+@frame("vec_dot_cells", BEST.format(f="list_inner_product", c="dot"))
+def vec_dot_cells(spark, d):
+    """vec_dot_all with cells that are skipped."""
+    return _cells(spark, d, False, "dot")
+
+
+@frame("vec_topk_cells", BEST.format(f="list_cosine_similarity", c="cos"))
+def vec_topk_cells(spark, d):
+    """vec_topk_all with cells that are skipped."""
+    return _cells(spark, d, True, "cos")
+
+
+@frame("agg_sketch_range", "SELECT event_type, count(*) AS n, true AS users_close, true AS median_close FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13' GROUP BY event_type")
+def agg_sketch_range(spark, d):
+    """Distinct users and the median of eight days, from sketches written by day; told is whether they keep 5 % and a hundredth and a half of the ranks."""
+    e = load(spark, d, "events")[0]
+    path = scratch(spark, "sketches")
+    files.write(sketches.sketched(e, ["event_type"], "ts", "user_id", "value").withColumn("day", F.to_date("period")), path, by=["day"])
+    days = F.col("day").between("2024-01-05", "2024-01-12")  # prunes folders
+    near = sketches.merged(files.read(spark, path), ["event_type"], days).select(F.col("event_type").alias("t"), "n", sketches.distinct_count().alias("users"), sketches.quantile(0.5).alias("median"))
+    exact = e.where(F.to_date("ts").between("2024-01-05", "2024-01-12")).join(near, F.col("event_type") == F.col("t")).groupBy("event_type").agg(
+        F.first("n").alias("n"), F.first("users").alias("users"), F.count_distinct("user_id").alias("all"),
+        F.avg((F.col("value") <= F.col("median")).cast("double")).alias("up_to"), F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"),
+    )
+    return exact.select("event_type", "n", (F.abs(F.col("users") - F.col("all")) <= 0.05 * F.col("all")).alias("users_close"), ((F.col("up_to") >= 0.485) & (F.col("below") <= 0.515)).alias("median_close"))
+
+
+@frame("json_variant", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'nothing' ELSE 'value' END AS told, CAST(NULL AS BIGINT) AS other FROM events")
+def json_variant(spark, d):
+    e = variants.parsed(load(spark, d, "events")[0].select("event_id", "props"), "props", "v")
+    return e.select("event_id", variants.typed("v", "$.k", "bigint").alias("k"), variants.told("v", "$.k").alias("told"), variants.typed("v", "$.other[0]", "bigint").alias("other"))
+
+
+@frame("json_schema", "SELECT event_type, 'OBJECT<k: BIGINT>' AS schema FROM events GROUP BY event_type")
+def json_schema(spark, d):
+    return variants.schema_by(variants.parsed(load(spark, d, "events")[0].select("event_type", "props"), "props", "v"), ["event_type"], "v")
+
+
+@frame("udtf_funnel", """WITH v AS (SELECT user_id, min((ts, event_id)) AS at FROM events WHERE event_type = 'view' GROUP BY user_id),
+  c AS (SELECT e.user_id, min((ts, event_id)) AS at FROM events e JOIN v ON e.user_id = v.user_id AND event_type = 'click' AND (ts, event_id) > v.at GROUP BY e.user_id),
+  p AS (SELECT e.user_id, min((ts, event_id)) AS at FROM events e JOIN c ON e.user_id = c.user_id AND event_type = 'purchase' AND (ts, event_id) > c.at GROUP BY e.user_id)
+  SELECT u.user_id, CAST((v.at IS NOT NULL)::INT + (c.at IS NOT NULL)::INT + (p.at IS NOT NULL)::INT AS INTEGER) AS reached, v.at[1] AS view, c.at[1] AS click, p.at[1] AS purchase
+  FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN v USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN p USING (user_id)""")
+def udtf_funnel(spark, d):
+    """From a view to a click to a purchase, by a table function over each user's rows in order."""
+    return funnels.funnel(load(spark, d, "events")[0], "user_id", "ts", "event_id", "event_type", ["view", "click", "purchase"])
+
+
+@frame("st_timers", f"SELECT user_id, start_ts, end_ts - INTERVAL 6 HOUR AS last_ts, n FROM ({SESSIONS}) WHERE end_ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def st_timers(spark, d):
+    """Users silent for six hours, told once by a timer; those not yet silent by the watermark stay untold."""
+    return st.drain(timers.silent(st.event_stream(spark, d), "user_id", "ts", "event_id"), "append").select("user_id", "start_ts", "last_ts", "n")
+
+
+@frame("scan_python", "SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE value > 100 AND event_type = 'view' AND ts >= TIMESTAMP '2024-01-10'")
+def scan_python(spark, d):
+    """events written to a data source in Python and read back in splits, the filters pushed down."""
+    path = scratch(spark, "shards")
+    shards.write_shards(load(spark, d, "events")[0].repartitionByRange(8, "ts"), path)
+    return shards.read_shards(spark, path).where("value > 100 AND event_type = 'view' AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
