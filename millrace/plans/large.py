@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import funnels, variants
-from ..operators import cells, inequality, ordered, sketches, strings
-from ..session import load, scratch
+from ..operators import cells, groups, inequality, ordered, sketches, strings
+from ..session import load, scratch, stored
 from ..sources import files, shards
 from ..streaming import timers
 from ..streaming import windows as st
@@ -151,3 +151,20 @@ def scan_python(spark, d):
     path = scratch(spark, "shards")
     shards.write_shards(load(spark, d, "events")[0].repartitionByRange(8, "ts"), path)
     return shards.read_shards(spark, path).where("value > 100 AND event_type = 'view' AND ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
+
+
+@frame("doc_near_groups", """WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY coalesce(text, '')),
+  s AS (SELECT id, w, len(w) AS n FROM (SELECT id, list_distinct(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+')) AS w FROM t)),
+  p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, len(list_intersect(x.w, y.w)) AS shared FROM s x JOIN s y ON x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1),
+  l AS MATERIALIZED (SELECT a, b FROM p WHERE shared >= 0.8 * (n - shared) - 1e-9),
+  e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r(id, x) AS (SELECT id, id FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.x = e.a)
+  SELECT d.doc_id, g.group_id FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN (SELECT id, min(x) AS group_id FROM r GROUP BY id) g ON g.id = t.id""")
+def doc_near_groups(spark, d):
+    """Each document with the least id of its group: equal texts, and those linked by a Jaccard similarity of their words of 0.8 or more."""
+    docs = load(spark, d, "documents")[0].select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.md5(F.coalesce("text", F.lit(""))).alias("h2"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("text").alias("text"), F.count("*").alias("n"))
+    words = stored(kinds.select("h1", "h2", "id", "n", F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+").alias("w")), "words")
+    found = words.select("h1", "h2", "id", "n").join(groups.similar_groups(words, "id", "w", 0.8), "id").select("h1", "h2", "n", "group_id")
+    own = docs.select("doc_id", "h1", "h2")
+    return groups.to_one(own, found, ["h1", "h2"], "n", own.count()).select("doc_id", "group_id")
