@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value: list[str], prefix: str = "asof_", bucket: str = "day") -> DataFrame:
     """Each left row with the columns `value` of the latest right row of the same keys at or before its time.
@@ -53,8 +55,18 @@ def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str,
     return left.join(tagged, on).drop("_b")
 
 
+HOT = 4096  # a key with a HOT-th of all left rows is hot
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
-    """Inner join with a hot left key spread over `salts` tasks; the right side is repeated for each."""
-    l = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [*on, "_salt"]).drop("_salt")
+    """Inner join whose hot left keys are spread over `salts` tasks each.
+
+    Keys are counted first; HOT of them at most are hot and go to all tasks. Only their rows of the right side are repeated, the
+    others' are joined as they are. Null keys match nothing.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    hot = stored(counts.where(F.col("_n") * HOT >= left.count()).select(*on, F.lit(salts).alias("_salts")), "hot")
+    marked = lambda df: df.join(F.broadcast(hot), on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    l = marked(left).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("_salts")).cast("int"))
+    r = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return l.drop("_salts").join(r.drop("_salts"), [*on, "_salt"]).drop("_salt")

@@ -246,10 +246,24 @@ def scan_binary(spark, d):
     return found.select(lines.cast("long").alias("names"), F.sha2("content", 256).alias("sha"))
 
 
-@frame("scan_ext")
+WRITTEN = ("parquet", "orc", "csv", "json", "xml")
+_EXT = "SELECT {f} AS format, true AS available, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events"
+
+
+@frame("scan_ext", " UNION ALL ".join(_EXT.format(f=f"'{f}'") for f in WRITTEN) + "".join(f" UNION ALL SELECT '{f}', false, NULL, NULL" for f in files.EXTERNAL))
 def scan_ext(spark, d):
-    rows = [(f, files.available(spark, f)) for f in (*files.BUILT_IN, *files.EXTERNAL)]
-    return spark.createDataFrame(rows, "format string, available boolean")
+    """events through each format that can be written and read, and which formats of external packages aren't there."""
+    e, out = load(spark, d, "events")[0].select("event_id", "user_id"), None
+    for f in (*WRITTEN, *files.EXTERNAL):
+        if ok := files.available(spark, f):
+            path, options = scratch(spark, f"scan-{f}"), {"rowTag": "row"} if f == "xml" else {}
+            files.write(e, path, f, **options)
+            told = files.read(spark, path, f, "event_id long, user_id long", **options).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+        else:
+            told = spark.range(1).select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("users"))
+        part = told.select(F.lit(f).alias("format"), F.lit(ok).alias("available"), "n", "users")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _DAY = "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start_ts, count(*) AS n FROM events GROUP BY ALL"

@@ -51,6 +51,19 @@ def test_interval_join(spark):
     assert got == want and (500, 600) in got and (500, 601) not in got
 
 
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+def test_salted_join(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT", hot)
+    rng = random.Random(6)
+    left = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(2)) for i in range(200)]
+    right = [("a", 0, 1), ("a", 0, 2), ("a", 1, 3), ("b", 1, 4), (None, 0, 5), ("z", 0, 6)]
+    l, r = spark.createDataFrame(left, "i int, k string, m int"), spark.createDataFrame(right, "k string, m int, v int")
+    got = joins.salted_join(l, r, ["k", "m"], 5)
+    assert set(got.columns) == {"i", "k", "m", "v"}
+    assert sorted((x.i, x.v) for x in got.collect()) == sorted((i, v) for i, k, m in left for n, o, v in right if k == n and k is not None and m == o)
+    assert joins.salted_join(l.where("false"), r, ["k", "m"]).count() == 0
+
+
 def test_similar_sets(spark):
     rng = random.Random(5)
     rows = [(0, []), (1, None), (2, ["x"]), (3, ["x", "x"]), (4, [None, "x"])]
