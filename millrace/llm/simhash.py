@@ -40,6 +40,7 @@ from .common import bound_batches, join_skewed, parts, raw_texts, written
 from .components import components
 
 SEED, RADIUS, TILE, ROWS = 42, 2, 1024, 1 << 16
+SHINGLES = 1 << 21  # of a tile of sets, whose hashes take 16 MB; a longer text stands alone
 SAMPLE = 8
 BITS = np.arange(64, dtype=np.uint64)
 ONE = np.uint64(1)
@@ -337,11 +338,11 @@ def exact(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 def similar_links(docs: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b) sets that span the similar pairs of each candidate component.
 
-    members: node, root and the row (id, key) that a set's text is taken from. A component of more than
-    TILE sets is cut into tiles, and each pair of tiles is a task's work of its own.
+    members: node, size, root and the row (id, key) that a set's text is taken from. A component of more than
+    TILE sets, or SHINGLES shingles, is cut into tiles, and each pair of tiles is a task's work of its own.
     """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    sized = members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("all") / SHINGLES)).cast("int")
+    sized = members.join(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "root")
     sized = sized.select("root", "node", "id", "key", tiles.alias("k"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
     found = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
     found = found.join(sized, found["doc_id"].eqNullSafe(sized["id"]) & (found["text_key"] == sized["key"])).select("root", "node", "k", "own", "text").dropDuplicates(["node"])
@@ -381,7 +382,7 @@ def near_copies(docs: DataFrame, width: int, radius: int, similarity: float) ->
     sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample")], _least(), F.count("*").alias("n"))
     sets = written(sets, "sets")
     near = components(set_links(sets, radius, similarity), "a", "b").withColumnRenamed("node", "f")
-    members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "root", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "members")
+    members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "size", "root", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "members")
     roots = components(written(similar_links(docs, members, width, similarity), "similar"), "a", "b")
     named = _named(sets.select(F.col("node").alias("f"), "least", "n"), roots)
     return join_skewed(rows, named, F.col("node") == F.col("f"), "n", rows.count()).select("doc_id", "component_id", "text_key", "head_key")

@@ -73,3 +73,20 @@ def test_hot_keys_are_split(spark, monkeypatch, tile):
     got = [(place[r.a], place[r.b]) for r in simhash.links(df).collect()]
     want = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2]
     assert least(len(fps), got) == least(len(fps), want)
+
+
+@pytest.mark.parametrize("tile, shingles", [(1024, 1 << 21), (1024, 150), (3, 1 << 21), (2, 1)])
+def test_tiles_of_sets_change_nothing(spark, monkeypatch, tile, shingles):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "SHINGLES", shingles)
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 500, 80)]
+        for _ in range(7):
+            words = [w if rng.random() > 0.01 else f"v{rng.integers(99)}" for w in words]
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    want = least(len(texts), [(i, j) for i in range(21) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 18, 0.8)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == want and len(set(want)) < 21
