@@ -30,7 +30,7 @@ equal in both meet in one task whatever their number.
 
 Defined results: null text: empty; texts under WIDTH bytes: nothing removed; null ids stand after all
 others, in order of the texts' crc32; ids are whole numbers; rows equal in id and text are one document and
-get the same result; rows that share an id only go by the text's crc32, and are told apart by 96 bits more; empty table: no rows; other columns
+get the same result; rows that share an id only go by the text's crc32, and are told apart by 32 bits more, or 96 under a null id; empty table: no rows; other columns
 are ignored.
 """
 
@@ -162,9 +162,10 @@ def _home(doc: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
     return _bucket(_mix((doc.astype(np.int64).view(np.uint64) + told * OTHER) * MULT), n)
 
 
-def told_apart(texts: list[bytes]) -> np.ndarray:
-    """128 bits that tell texts of one id apart, in order of their crc32: it and 96 bits of another hash."""
-    return np.array([zlib.crc32(t).to_bytes(4, "big") + xxhash.xxh3_128_digest(t)[:12] for t in texts], "S16")
+def told_apart(ids: pa.Array, texts: list[bytes]) -> np.ndarray:
+    """What tells texts of one id apart, in order of their crc32: it and other hash bits, 96 under a null id and 32 under another, where zeros follow."""
+    more = [12 if i is None else 4 for i in ids.to_pylist()]
+    return np.array([zlib.crc32(t).to_bytes(4, "big") + xxhash.xxh3_128_digest(t)[:n] for n, t in zip(more, texts, strict=True)], "S16")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -208,7 +209,7 @@ def _find_runs(n: int, schema: pa.Schema, flush_at: int):
         for b in batches:
             ids = _ids(b.column(0))
             texts = raw_texts(b.column(1))
-            crcs = told_apart(texts)
+            crcs = told_apart(b.column(0), texts)
             for chunk in in_chunks(_pieces(texts), CHUNK, lambda x: len(x[2])):
                 t, start, length, low, high = text_runs([x[2] for x in chunk])
                 of, offset = (np.array([x[i] for x in chunk], np.int64)[t] for i in (0, 1))
@@ -322,8 +323,8 @@ def _entries(n: int, schema: pa.Schema):
     def run(docs: pa.Table, sends: pa.Table) -> pa.Table:
         if not sends.num_rows or not docs.num_rows:
             return schema.empty_table()
-        whole = raw_texts(docs["text"].combine_chunks())
-        texts = dict(zip(zip(_ids(docs["doc_id"].combine_chunks()).tolist(), told_apart(whole).tolist(), strict=True), whole, strict=True))
+        ids, whole = docs["doc_id"].combine_chunks(), raw_texts(docs["text"].combine_chunks())
+        texts = dict(zip(zip(_ids(ids).tolist(), told_apart(ids, whole).tolist(), strict=True), whole, strict=True))
         rows = list(zip(*(sends[c].to_pylist() for c in ("kind", "doc", "crc", "start", "length", "low", "high")), strict=True))
         shard, out = docs["home"][0].as_py(), []
 
@@ -533,7 +534,7 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = (), hot: int = HOT, limit:
 
     def homes(batches):
         for b in batches:
-            home = _home(_ids(b.column(0)), told_apart(raw_texts(b.column(1))), n)
+            home = _home(_ids(b.column(0)), told_apart(b.column(0), raw_texts(b.column(1))), n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32))], ["doc_id", "text", *carry, "home"])
 
     more = "".join(f"{c} {whole.schema[c].dataType.simpleString()}, " for c in carry)
@@ -567,7 +568,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, carry: tuple[str, ..
         spans = dict(zip(zip(d[cut].tolist(), c[cut].tolist(), strict=True), np.split(order, cut[1:]), strict=False))
         ids, whole = texts["doc_id"].combine_chunks(), raw_texts(texts["text"].combine_chunks())
         out = []
-        for i, k, own, t in zip(ids.to_pylist(), _ids(ids).tolist(), told_apart(whole).tolist(), whole, strict=True):
+        for i, k, own, t in zip(ids.to_pylist(), _ids(ids).tolist(), told_apart(ids, whole).tolist(), whole, strict=True):
             p = spans.get((k, own))
             kept, n_spans = t, 0
             if p is not None:
