@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .inequality import inequality_join
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, value: list[str], prefix: str = "asof_", bucket: str = "day") -> DataFrame:
@@ -45,14 +46,23 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, oth
     return l.join(r, [*by, "_b"]).where((F.col(other) >= F.col(at)) & (F.col(other) <= end)).drop("_b")
 
 
+WIDE = 64  # buckets of a range at most
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Rows with low <= at < high, as an equi join on buckets of `width` instead of a product.
 
-    A right row stands in every bucket its range meets; the exact condition is applied after.
+    A right row stands in every bucket its range meets; the exact condition is applied after. Ranges of more than WIDE buckets would
+    make rows without a bound: those go through the join on two inequalities, for which columns of the sides differ in name.
+    Nulls match nothing, as does an empty or turned range.
     """
-    tagged = right.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    on = (F.floor(F.col(at) / width) == F.col("_b")) & (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
-    return left.join(tagged, on).drop("_b")
+    bucket = lambda c: F.floor(F.col(c).cast("double") / width)
+    ranges, is_wide = right.where(F.col(low) < F.col(high)), (F.col(high).cast("double") - F.col(low).cast("double")) / width >= WIDE
+    tagged = ranges.where(~is_wide).withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
+    on = (bucket(at) == F.col("_b")) & (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))
+    found = left.join(tagged, on).drop("_b")
+    wide = ranges.where(is_wide)
+    return found if wide.isEmpty() else found.unionByName(inequality_join(left, wide, (at, ">=", low), (at, "<", high)))
 
 
 HOT = 4096  # a key with a HOT-th of all left rows is hot

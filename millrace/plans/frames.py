@@ -190,9 +190,8 @@ def udf_arrow(spark, d):
 
 @frame("udtf", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
 def udtf(spark, d):
-    load(spark, d, "part")[0].createOrReplaceTempView("part")
     spark.udtf.register("words_of", udfs.words_table())
-    return spark.sql("SELECT p_partkey, pos, word FROM part, LATERAL words_of(p_name)")
+    return spark.sql("SELECT p_partkey, pos, word FROM {part}, LATERAL words_of(p_name)", part=load(spark, d, "part")[0])
 
 
 SCHEMA = "n_nationkey int, n_name string, n_regionkey int"

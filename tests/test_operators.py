@@ -51,6 +51,16 @@ def test_interval_join(spark):
     assert got == want and (500, 600) in got and (500, 601) not in got
 
 
+def test_range_join_of_narrow_and_wide_ranges(spark):
+    rng = random.Random(7)
+    left = [(i, rng.choice([None, -3.0, rng.uniform(-50, 50)])) for i in range(80)]
+    right = [(i, lo := rng.uniform(-60, 60), lo + rng.choice([0.5, 3.0, 0.0, -1.0])) for i in range(40)] + [(100, -1e6, 1e6), (101, -3.0, 1e12), (102, None, 5.0), (103, -1e300, -3.0), (104, -1e300, 1e300)]
+    l, r = spark.createDataFrame(left, "i int, at double"), spark.createDataFrame(right, "j int, low double, high double")
+    for own in (right, right[:40]):
+        got = joins.range_join(l, r.where(F.col("j").isin([x[0] for x in own])), "at", "low", "high", 1.0).collect()
+        assert sorted((x.i, x.j) for x in got) == sorted((i, j) for i, a in left for j, lo, hi in own if None not in (a, lo, hi) and lo <= a < hi)
+
+
 @pytest.mark.parametrize("hot", [1, 3, 4096])
 def test_salted_join(spark, monkeypatch, hot):
     monkeypatch.setattr(joins, "HOT", hot)
