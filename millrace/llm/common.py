@@ -76,6 +76,25 @@ def join_skewed(rows: DataFrame, table: DataFrame, on: Column, count: str, total
     return rows.join(few, on).unionByName(rest)
 
 
+#: Bits of marks(): 8 MB, whatever the number of keys.
+MARKS = 1 << 26
+
+
+def marks(keys: DataFrame, h: Column) -> DataFrame:
+    """A bitmap of the hashes h of keys, as rows (_bucket, _bits) of 4 KB, to broadcast; MARKS bits at most."""
+    v = keys.select((F.pmod(h, F.lit(MARKS)) + 1).alias("v"))
+    bits = v.groupBy(F.bitmap_bucket_number("v").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+    return F.broadcast(written(bits, "marks"))
+
+
+def marked(rows: DataFrame, h: Column, bits: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose hash h has its bit set, among them all whose hash is one of the keys'; with left_anti the others. Nothing is shuffled."""
+    v = F.pmod(h, F.lit(MARKS)) + 1
+    at = F.bitmap_bit_position(v)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(bits, (F.bitmap_bucket_number(v) == F.col("_bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1), how)
+
+
 def parts(df: DataFrame) -> int:
     """How many partitions to deal out to: the session's setting, or the input's splits if more."""
     set_to = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,9 +16,13 @@ Rows get their component by a join that broadcasts the few fingerprints of many
 With a similarity (one_of_each), linked texts also have that Jaccard similarity of shingle sets. The
 radius this takes is too wide for bit blocks to prune (at 18, 190 tables of 6 bits), so the keys are a
 set's SAMPLE least shingle hashes: two sets of similarity s share none of them with probability
-(1 - s) ** SAMPLE. Sets of a key within the radius, and of sizes that allow the similarity, are
-candidates, compared bit-sliced; the sets of a candidate component are then compared exactly, from pivots: as
-Jaccard's distance is a metric, sets near a pivot have no link to sets over twice as far from it.
+(1 - s) ** SAMPLE. Sets of a key within the radius, and of sizes that allow the similarity, are compared
+bit-sliced. Of n unlike sets of a key some n * n / 5000 pairs are that near by chance, which would join
+most of a large key's sets in one component; so candidates also agree in a sketch: the least hash of each of 64
+ranges, of which the share that agree is the similarity, give or take 0.05, and may fall short of it by SLACK.
+The sets of a candidate component are then compared exactly, from pivots: as
+Jaccard's distance is a metric, sets near a pivot have no link to sets over twice as far from it. Their texts
+alone are shuffled, by a bitmap of those that are needed.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than
 a shingle: the whole sequence is the shingle; repeated rows: repeated results, null ids: never the
@@ -36,12 +40,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_skewed, parts, raw_texts, written
+from .common import bound_batches, join_skewed, marked, marks, parts, raw_texts, written
 from .components import components
 
 SEED, RADIUS, TILE, ROWS = 42, 2, 1024, 1 << 16
 SHINGLES = 1 << 21  # of a tile of sets, whose hashes take 16 MB; a longer text stands alone
 SAMPLE = 8
+SLACK = 0.3  # six standard deviations of a sketch at 0.8
+FEW, WIDE = 8, 16  # tiles of a key of sets: of TILE up to FEW of them, then larger, of up to WIDE * TILE
+SKETCH = ("s0", "s1", "s2", "s3")  # 16 ranges each, four bits a range
+EDGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
 BITS = np.arange(64, dtype=np.uint64)
 ONE = np.uint64(1)
 
@@ -152,14 +160,37 @@ def _beyond(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return np.zeros_like(counter[0]) | above
 
 
-def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that span the components which within() finds, of pairs whose sizes allow the similarity."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Four bits of the least hash in each of 64 ranges, from 1 on, and 0 for a range without any; hashes are sorted."""
+    at = np.searchsorted(hashes, EDGES)
+    some = np.diff(np.append(at, len(hashes))) > 0
+    least = np.zeros(64, np.uint64)
+    least[some] = hashes[at[some]] % np.uint64(15) + ONE
+    return np.bitwise_or.reduce(least.reshape(4, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+
+
+def agree(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether sketches agree in this share, at least, of the ranges that one of the two has something in."""
+
+    def filled(x):
+        x = x | x >> ONE
+        return np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(0x1111111111111111)).astype(np.int64)
+
+    both = sum(filled(x | y) for x, y in zip(a, b, strict=True))
+    return both - sum(filled(x ^ y) for x, y in zip(a, b, strict=True)) >= least * both
+
+
+def forest(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int, sizes: np.ndarray | None = None, similarity: float = 0, sketches: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that span the components which within() finds, of pairs whose sizes and sketches allow the similarity."""
 
     def pairs():
         for at, to in within(fps, low, high, radius):
             if sizes is not None:
                 fit = np.minimum(sizes[at], sizes[to]) >= similarity * np.maximum(sizes[at], sizes[to])
                 at, to = at[fit], to[fit]
+            if sketches:
+                fit = agree([x[at] for x in sketches], [x[to] for x in sketches], similarity - SLACK)
+                at, to = at[fit], to[fit]
             yield at, to
 
     return spanned(len(fps), pairs())
@@ -216,15 +247,18 @@ def _pieces_of(mask: int, n: int) -> list[int]:
 
 
 def set_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b) sets (node, fp, size, sample) that span the candidates for the similarity."""
-    keyed = sets.select("fp", F.lit(0).alias("t"), F.explode("sample").alias("key"), "node", "size")
-    return _compared(keyed, parts(sets), radius, ROWS >> 4, ("node", "size"), similarity)
+    """(a, b) sets (node, fp, size, sample, sketch) that span the candidates for the similarity."""
+    parted = [F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)]
+    keyed = sets.select("fp", F.lit(0).alias("t"), F.explode("sample").alias("key"), "node", "size", *parted)
+    return _compared(keyed, parts(sets), radius, ROWS >> 4, ("node", "size", *SKETCH), similarity)
 
 
 def _compared(keyed: DataFrame, n: int, radius: int, most: int, extra: tuple = (), similarity: float = 0) -> DataFrame:
-    """(a, b) links of the rows (t, key, fp) that share a key; with node and size, between nodes."""
+    """(a, b) links of the rows (t, key, fp) that share a key; with node, size and sketch, between nodes."""
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
+    if extra:  # a row is repeated for each tile of its key
+        tiles = F.least(tiles, F.greatest(F.lit(FEW), F.ceil(F.col("n") / (WIDE * TILE)).cast("int")))
     # inner join: keys of one fingerprint have nothing to compare
     dealt = keyed.join(sizes, ["t", "key"]).select("t", "key", "fp", tiles.alias("k"), F.pmod(F.xxhash64(extra[0] if extra else "fp"), tiles).cast("int").alias("own"), *extra)
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -257,7 +291,7 @@ def _borders(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def _spanning(cols: list[np.ndarray], radius: int, similarity: float = 0) -> pa.RecordBatch:
-    """Spanning links of whole groups of rows (t, key, i, j, own, fp and perhaps node, size) that are sorted."""
+    """Spanning links of whole groups of rows (t, key, i, j, own, fp and perhaps node, size, sketch) that are sorted."""
     _, _, i, j, own, fp, *more = cols
     size = len(fp)
     start = np.concatenate([[0], _borders(cols)])
@@ -269,13 +303,13 @@ def _spanning(cols: list[np.ndarray], radius: int, similarity: float = 0) -> pa.
     low = np.where(i == j, here + 1, second)
     high = np.where((i == j) | (own == i), end, 0)
     fps = fp.view(np.uint64)
-    at, to = forest(fps, low, high, radius, more[1] if more else None, similarity)
+    at, to = forest(fps, low, high, radius, more[1] if more else None, similarity, [x.view(np.uint64) for x in more[2:]])
     node = more[0] if more else fp
     return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[to])], ["a", "b"])
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the text's set of shingles), fp (where each shingle votes once), size, sample."""
+    """doc_id, text_key, node (a hash of the text's set of shingles), fp (where each shingle votes once), size, sample, sketch."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
 
@@ -286,9 +320,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             fp = np.array([majority(s) for s in sets], np.uint64)
             size = pa.array([len(s) for s in sets], pa.int32())
             sample = pa.array([s[:SAMPLE].view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), size, sample], ["doc_id", "text_key", "node", "fp", "size", "sample"])
+            drawn = pa.array([sketch(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), size, sample, drawn], ["doc_id", "text_key", "node", "fp", "size", "sample", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, size int, sample array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, size int, sample array<long>, sketch array<long>")
 
 
 def exact(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -344,7 +379,8 @@ def similar_links(docs: DataFrame, members: DataFrame, width: int, similarity: f
     tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("all") / SHINGLES)).cast("int")
     sized = members.join(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all")), "root")
     sized = sized.select("root", "node", "id", "key", tiles.alias("k"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("own"))
-    found = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
+    needed = marks(members, F.xxhash64("id", "key"))
+    found = marked(docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key")), F.xxhash64("doc_id", "text_key"), needed)
     found = found.join(sized, found["doc_id"].eqNullSafe(sized["id"]) & (found["text_key"] == sized["key"])).select("root", "node", "k", "own", "text").dropDuplicates(["node"])
     pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     order = ["root", "i", "j"]
@@ -379,7 +415,7 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_copies(docs: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
     """doc_id, component_id (least doc_id reachable over texts of the similarity), text_key, head_key (of the least row)."""
     rows = written(shingle_sets(docs, width), "shingles")
-    sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample")], _least(), F.count("*").alias("n"))
+    sets = rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sample", "sketch")], _least(), F.count("*").alias("n"))
     sets = written(sets, "sets")
     near = components(set_links(sets, radius, similarity), "a", "b").withColumnRenamed("node", "f")
     members = written(sets.join(near, F.col("node") == F.col("f")).select("node", "size", "root", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "members")
@@ -426,10 +462,14 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS, similarit
     seen = written(seen.where("NOT head OR n > 1"), "seen")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
     again = seen.where("head")
+    # the others stay where they are, so few texts are shuffled
+    bits, h = marks(seen, F.xxhash64("_id", "_key")), F.xxhash64("doc_id", F.xxhash64("text"))
+    some = marked(docs, h, bits)
+    left = marked(docs, h, bits, "left_anti").unionByName(some.join(seen, same, "left_anti"))
     if again.isEmpty():
-        return docs.join(seen, same, "left_anti")
-    one = docs.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return docs.join(seen, same, "left_anti").unionByName(one.select("row.*"))
+        return left
+    one = some.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import common, simhash
 
 
 def least(n, pairs):
@@ -90,3 +91,34 @@ def test_tiles_of_sets_change_nothing(spark, monkeypatch, tile, shingles):
     want = least(len(texts), [(i, j) for i in range(21) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
     found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 18, 0.8)
     assert [r.component_id for r in found.orderBy("doc_id").collect()] == want and len(set(want)) < 21
+
+
+def test_sketches_keep_similar_sets():
+    rng = np.random.default_rng(8)
+    for n in (5, 10, 60, 500):
+        for _ in range(300):
+            both = rng.permutation(np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64)))
+            cut = rng.integers(0, n // 5 + 1)  # the two differ in a fifth of both
+            a, b = (simhash.sketch(np.sort(x)) for x in (both[cut:], np.append(both[:cut], both[n // 5 :])))
+            assert simhash.agree([*a[:, None]], [*b[:, None]], 0.5).all()
+
+
+def test_unlike_sets_of_one_shingle_are_no_candidates(spark):
+    """Before, some of the fingerprints were near enough by chance to put most sets of a large key into one component, whose texts met in pairs of tiles."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(6000):
+        s = np.unique(np.append(rng.integers(0, 2**64 - 1, 300, dtype=np.uint64), np.uint64(1)))
+        rows.append((i, int(rng.integers(-(2**63), 2**63 - 1)), len(s), s[:1].view(np.int64).tolist(), simhash.sketch(s).view(np.int64).tolist()))
+    rows += [(6000, *rows[0][1:])]
+    sets = spark.createDataFrame(rows, "node long, fp long, size int, sample array<long>, sketch array<long>")
+    assert [{r.a, r.b} for r in simhash.set_links(sets, 18, 0.8).collect()] == [{0, 6000}]
+
+
+def test_marks_hold_all_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "MARKS", 1 << 17)
+    rows = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    bits = common.marks(rows.where("k % 50 = 7 OR k IS NULL"), F.xxhash64("k"))
+    some, rest = (common.marked(rows, F.xxhash64("k"), bits, how) for how in ("left_semi", "left_anti"))
+    assert some.where("k % 50 = 7 OR k IS NULL").count() == 401 and some.count() < 800
+    assert some.unionByName(rest).exceptAll(rows).count() == 0 and some.count() + rest.count() == 20000
