@@ -11,7 +11,8 @@ bounds are rigorous and every row is in the index, so recall is 1; tests hold it
 2. For each of their scores the window from LOW hundredths of it up to it: the best rows of other labels within.
 
 Anchors are the stated query set, searched against all rows in blocks: a block of rows meets each block of anchors once a
-pass, by an equi join on a number that anchors are repeated for, and gives at most k rows an anchor and window.
+pass, by an equi join on a number that anchors are repeated for, and gives at most k rows an anchor and window. That join is never a
+broadcast, as Spark estimates it without the repeats; anchors are repeated to half as many as there are rows, or for LEAST groups.
 
 Bounds: the sample is FIT_ROWS rows of the lowest hashes, its codebooks 256 centroids each, which is all that the
 driver holds; a pair of blocks takes ANCHORS x ROWS x 8 bytes a few times over; anchors are never gathered. Work grows with
@@ -38,6 +39,7 @@ from .common import bound_batches, parts, written
 
 SCALE, SUB, CENTROIDS, FIT_ROWS, FIT_STEPS = 256, 2, 256, 4096, 6
 ROWS, ANCHORS = 8192, 256  # of a block
+LEAST = 16  # groups of blocks that anchors may be repeated for, whatever they take
 PAIRS = 1 << 16  # exact scores computed at a time
 LOW, POSITIVES, NEGATIVES = 80, 5, 5
 LAST = np.iinfo(np.int64).max  # what a null id counts as
@@ -193,10 +195,16 @@ def negatives(q: Block, scores: list[np.ndarray], r: Block, books: np.ndarray, l
     return list(np.concatenate(found, axis=1))
 
 
+def _lowest(rows: DataFrame, n: int) -> DataFrame:
+    """Of n rows those of the lowest hashes, twice FIT_ROWS about, so that not every split sorts and sends FIT_ROWS of its own."""
+    share = 2 * FIT_ROWS / max(1, n)
+    return rows if share > 0.5 else rows.where(F.xxhash64("id", "key") < F.lit(int(2.0**64 * share) - 2**63))
+
+
 def _pairs(anchors: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Each block of anchors beside each block of the index, by an equi join: anchors are repeated for n groups of blocks."""
     group = F.pmod(F.xxhash64("ids"), F.lit(n)).alias("g")
-    own = index.select(group, *[F.col(c).alias(f"r_{c}") for c in index.columns])
+    own = index.select(group, *[F.col(c).alias(f"r_{c}") for c in index.columns]).hint("merge")
     return own.join(anchors.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "g")
 
 
@@ -223,17 +231,18 @@ def mine(rows: DataFrame, is_anchor: Column, low: int = LOW, n_positives: int =
     rows = rows.where(fine).withColumn("key", F.xxhash64("label", "vector"))
     greatest = F.max(F.array_max(F.transform("vector", F.abs)))
     anchors = rows.where(F.coalesce(is_anchor, F.lit(False)))
-    n, width, most = rows.agg(F.count("*"), F.max(F.size("vector")), greatest).first()
+    asking = F.count_if(F.coalesce(is_anchor, F.lit(False)))
+    n, n_anchors, width, most = rows.agg(F.count("*"), asking, F.max(F.size("vector")), greatest).first()
     width = -(-max(width or 0, 1) // SUB) * SUB
     if 100 * width * (SCALE * (most or 0.0) + 1) ** 2 >= 2.0**62:
         raise ValueError(f"components of up to {most} give scores beyond 62 bits")
-    sample = rows.orderBy(F.xxhash64("id", "key"), "id", "key").limit(FIT_ROWS).select("vector").toArrow()
+    sample = _lowest(rows, n).orderBy(F.xxhash64("id", "key"), "id", "key").limit(FIT_ROWS).select("vector").toArrow()
     books = fit(components(sample["vector"].combine_chunks(), width))
     held = spark.sparkContext.broadcast(books)
 
     named = rows.withColumn("id", F.coalesce("id", F.lit(int(LAST))))
     index = written(blocks(named, ROWS, width, books), "codes")
-    groups = max(1, min(-(-n // ROWS), parts(rows)))
+    groups = max(1, min(-(-n // ROWS), parts(rows), max(LEAST, n // (2 * max(1, n_anchors)))))
     anchors = anchors.select("id", "key", "label", "vector").dropDuplicates(["id", "key"])
     asked = written(blocks(anchors, ANCHORS, width, None), "anchors")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import common
 from millrace.llm import hard_negatives as hn
 
 SCHEMA = "id long, label int, vector array<double>, key string, rank int"
@@ -71,3 +72,20 @@ def test_empty_and_refused(spark):
     assert hn.mine(one, F.col("id") % 2 == 0).count() == 0  # no row of another label
     with pytest.raises(ValueError, match="62 bits"):
         hn.mine(spark.createDataFrame([(0, 1, [1e12], "", 1)], SCHEMA), F.col("id") % 2 == 0)
+
+
+def test_repeated_anchors_are_not_broadcast(spark):
+    """Spark estimates the anchors by their file, not by their repeats, all of which a broadcast would gather on the driver."""
+    columns = hn.BLOCK.replace(" binary", "").split(", ")
+    blocks = common.written(spark.range(40).select(*[F.lit(b"x").alias(c) for c in columns]))
+    pairs = hn._pairs(blocks, blocks, 7)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 1600
+
+
+def test_sample_is_thinned_before_it_is_sorted(spark, monkeypatch):
+    monkeypatch.setattr(hn, "FIT_ROWS", 50)
+    rows = spark.range(20000).select("id", F.col("id").alias("key"))
+    few = hn._lowest(rows, 20000)
+    low = lambda df: [r.id for r in df.orderBy(F.xxhash64("id", "key")).limit(50).collect()]
+    assert 50 <= few.count() < 200 and low(few) == low(rows)
