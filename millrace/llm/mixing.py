@@ -23,10 +23,10 @@ source's size: two copies of each; columns beside doc_id, source and text are ig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_skewed, replaced, written
+from .common import join_skewed, replaced, written
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 STEPS, CLOSE, SURE, BLOCK = 60, 1e-9, 1e-6, 2000  # SURE: what a share of a target may be missed by at most
@@ -98,11 +98,19 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, cap: float = CAP) -> D
     return state.withColumn("lam", F.round("lam", 9))
 
 
+def n_words(text: Column) -> Column:
+    """How many words of WORD's pattern a text has (null: 0), without a list of them, which for a long text would be many times its size.
+
+    Each word becomes one byte and takes the white space before it along; what is left at the end is trimmed.
+    """
+    ones = F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++", "w")
+    return F.coalesce(F.octet_length(F.rtrim(ones, F.lit(" \t\n\v\f\r"))), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for each row of docs."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # of rows equal in id, source and size the salt of the text tells which takes a copy more
-    rows = written(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
+    rows = written(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
     histogram = written(rows.groupBy("source", "size").agg(F.count("*").alias("k")).withColumnRenamed("source", "s"), "histogram")
     targets = source_targets(histogram.select(F.col("s").alias("source"), "size", F.col("k").alias("n")), weights, share, cap)
     tilts = solve_tilts(histogram, targets, cap)

@@ -1,6 +1,8 @@
 """The pipeline's stages on odd rows, and mixing against the optimum of its entropy."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,15 @@ def test_tilts_are_the_entropy_optimum(spark):
                 moved = {x: own[x].rate + eps, y: own[y].rate - eps * own[x]["size"] / own[y]["size"]}
                 if own[x]["size"] != own[y]["size"] and all(0 < v < 2 for v in moved.values()):
                     assert sum(h(moved.get(i, r.rate)) for i, r in enumerate(own)) < best
+
+
+def test_sizes_make_no_list_of_words(spark, monkeypatch):
+    """Words are counted as the pattern says, and no task holds all words of a text at once."""
+    rng, plans = random.Random(3), []
+    texts = [None, "", " ", "\n\t\v\f\r ", "a", " a", "a\n", *("".join(rng.choice(" \t\n\v\f\r\x1c\x85\u3000abé\U0001f600\0$\\") for _ in range(rng.randrange(60))) for _ in range(500)), "w\r\n" * 300_000]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    plain = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, what: plans.append((what, df._jdf.queryExecution().optimizedPlan().toString())) or plain(df, what))
+    got = {r.doc_id: r["size"] for r in mixing.mix(docs).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in dict(plans)["sizes"]
