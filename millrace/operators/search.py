@@ -1,4 +1,4 @@
-"""Searches: vectors, many queries against all rows in blocks; similar sets by banded MinHash."""
+"""Searches: vectors, many queries against all rows in blocks; similar sets by their rarest items."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import grouping
+from . import grouping, sets
 
 QUERIES, ROWS = 256, 2048  # vectors of a block
 
@@ -60,25 +60,14 @@ def best_of_each(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     return grouping.top_k(found, ["query_id"], [F.col("score").desc_nulls_last(), F.col(key)], k)
 
 
-def similar_sets(df: DataFrame, key: str, items: str, least: float, bands: int = 20, width: int = 4) -> DataFrame:
+def similar_sets(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """a, b, shared, united: pairs a < b of rows whose sets (array column items) have a Jaccard similarity of least or more.
 
-    Pairs that agree in all `width` MinHashes of one of `bands` bands are candidates, which the sets themselves
-    decide: of pairs at similarity s, (1 - s ** width) ** bands are missed, 3 in 100,000 at 0.8, and of pairs at 0.3 one in
-    six is compared. Keys are unique and not null; null and empty sets are similar to nothing.
+    None is missed: candidates share one of their rarest items (`sets`), and the sets decide. A set goes once to each pair of chunks in which it
+    has a candidate, never to each candidate. df is read three times, so that nothing whole is written. Keys are whole numbers, unique and not null; null and
+    empty sets are similar to nothing.
     """
-    sets = df.select(key, F.array_distinct(items).alias("_set")).where(F.size("_set") > 0)
-    hashed = sets.select(key, F.transform("_set", lambda x: F.xxhash64(x)).alias("_h"))
-
-    def lowest(i: int):
-        return F.array_min(F.transform("_h", lambda x: F.xxhash64(x, F.lit(i))))
-
-    band = lambda j: F.xxhash64(*[lowest(i) for i in range(j * width, (j + 1) * width)])
-    keyed = hashed.select(key, F.posexplode(F.array(*[band(j) for j in range(bands)])).alias("_band", "_key"))
-    pairs = keyed.withColumnRenamed(key, "a").join(keyed.withColumnRenamed(key, "b"), ["_band", "_key"]).where("a < b").select("a", "b").distinct()
-    of = lambda name, own: sets.select(F.col(key).alias(name), F.col("_set").alias(own))
-    met = pairs.join(of("a", "_x"), "a").join(of("b", "_y"), "b")
-    shared = F.size(F.array_intersect("_x", "_y")).cast("long")
-    found = met.select("a", "b", shared.alias("shared"), (F.size("_x") + F.size("_y")).alias("_sum"))
-    found = found.select("a", "b", "shared", (F.col("_sum") - F.col("shared")).alias("united"))
-    return found.where(F.col("shared") >= F.lit(least) * F.col("united"))
+    rows = sets.hashed(df, key, items)
+    found = sets.prefixes(rows, least)
+    pairs = sets.verified(sets.candidates(found, least), rows, found)
+    return pairs.where(F.col("shared") >= F.lit(least) * F.col("united"))
