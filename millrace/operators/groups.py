@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import remove, stored
+from . import sets
 
 SMALL, HOT, ROUNDS = 32, 4096, 60  # rows of a group that are all compared; a key with a HOT-th of all rows is hot; rounds at most
 
@@ -55,65 +58,63 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _bands(sets: DataFrame, bands: int, width: int) -> DataFrame:
-    """(id, band, k): the MinHash bands of each set."""
-    hashed = sets.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("h"))
+def _bands(rows: DataFrame, bands: int, width: int) -> DataFrame:
+    """(id, band, k): the MinHash bands of each set of 64-bit hashes."""
+    salts = np.random.default_rng(0).integers(0, 1 << 63, bands * width).astype(np.uint64) | np.uint64(1)
 
-    def lowest(i: int) -> Column:
-        return F.array_min(F.transform("h", lambda x: F.xxhash64(x, F.lit(i))))
+    def run(batches):
+        for b in batches:
+            x, ends = sets.ragged(b.column(1))
+            begin, x = ends - np.diff(ends, prepend=0), x.astype(np.uint64)
+            for j in range(bands):
+                k = np.zeros(len(ends), np.uint64)
+                for salt in salts[j * width : (j + 1) * width]:
+                    y = x * salt
+                    k = (k ^ np.minimum.reduceat(y ^ y >> np.uint64(29), begin)) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(ends), j, np.int32)), pa.array(k.astype(np.int64))], ["id", "band", "k"])
 
-    band = lambda j: F.xxhash64(*[lowest(i) for i in range(j * width, (j + 1) * width)])
-    return hashed.select("id", F.posexplode(F.array(*[band(j) for j in range(bands)])).alias("band", "k"))
+    return rows.select("id", "s").mapInArrow(run, "id long, band int, k long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, united, far) of different pairs: far is the Jaccard distance of their sets."""
-    side = lambda c, own: sets.select(F.col("id").alias(c), F.col("s").alias(own))
-    met = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
-    found = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("n"))
-    found = found.select("a", "b", "shared", (F.col("n") - F.col("shared")).alias("united"))
-    return stored(found.withColumn("far", 1 - F.col("shared") / F.col("united")), "verified")
+def _copies(rows: DataFrame, found: DataFrame, least: float, bands: int, width: int) -> DataFrame:
+    """Links of the rows of bands' groups of over SMALL rows with the least of their group, its hub, if they are similar."""
+    every = stored(_bands(rows, bands, width), "bands")
+    group = every.groupBy("band", "k").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where(F.col("n") > SMALL)
+    own = to_one(every, stored(group, "groups"), ["band", "k"], "n", every.count()).where("id <> hub")
+    return sets.verified(own.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), rows, found).where(_similar(least))
+
+
+def _similar(least: float) -> Column:
+    return F.col("shared") >= (least - 1e-9) * F.col("united")
+
+
+def _across(found: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the sets that can be similar, but not of those of one root. An item's rows of its most frequent root meet the others alone."""
+    rows = sets.postings(found.join(roots.select(F.col("node").alias("id"), "root"), "id", "left"), "root")
+    held = rows.where("root IS NOT NULL").groupBy("token", "root").agg(F.count("*").alias("m"))
+    most = held.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
+    own = rows.join(most, "token", "left").withColumn("usual", F.coalesce(F.col("root") == F.col("most"), F.lit(False)))
+    met = sets.side(own.where("NOT usual"), "a", "root").join(sets.side(own, "b", "root", "usual"), "token")
+    met = met.where("(b_usual OR a < b) AND NOT coalesce(a_root = b_root, false)")
+    return sets.likely(met, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def spanning_links(df: DataFrame, key: str, items: str, least: float, bands: int = 20, width: int = 4) -> DataFrame:
     """a, b, shared, united: pairs a < b of rows whose sets have a Jaccard similarity of least or more, enough of them to connect all that are.
 
-    Candidates agree in all MinHashes of a band: of pairs at similarity s, (1 - s ** width) ** bands are missed. A band's group of up to SMALL
-    rows is compared pair by pair. Of a larger one all rows are compared with the least, its hub. Those within the distance hang on it, which
-    connects them, so they need no links among themselves. The others go on as a group, and meet a row that hangs on the hub only if the two can be
-    close: distances are a metric, so theirs is at least the difference of their distances from the hub. Thus no pair's connection is lost, and
-    a group of n near copies is n comparisons.
+    First, near copies: rows that agree in all MinHashes of a band, if they are over SMALL, are compared with the least of them, their hub, and those
+    that are similar hang on it. Then all pairs that can be similar are compared, as in `sets`, but for those that hang together already.
+    Thus no pair's connection is lost, and a group of n near copies is n comparisons a band at most.
 
     Hubs of hot groups are broadcast, HOT at most. Keys are whole numbers, unique and not null; null and empty sets are similar to nothing; items that
-    repeat count once; an empty table gives no rows.
+    repeat count once; an empty table gives no rows. df is read for each step.
     """
-    sets = stored(df.select(F.col(key).alias("id"), F.array_distinct(items).alias("s")).where("id IS NOT NULL AND size(s) > 0"), "sets")
-    rows = stored(_bands(sets, bands, width), "bands")
-    links, far = [], F.lit(1 - least + 1e-9)
-    for _ in range(ROUNDS):
-        group = rows.groupBy("band", "k").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-        total = rows.count()
-        own = stored(to_one(rows, group, ["band", "k"], "n", total), "groups")
-        some, many = own.where(F.col("n") <= SMALL).select("band", "k", "id"), own.where((F.col("n") > SMALL) & (F.col("id") != F.col("hub")))
-        every = some.withColumnRenamed("id", "a").join(some.withColumnRenamed("id", "b"), ["band", "k"]).where("a < b").select("a", "b")
-        told = _verified(every.unionByName(many.select(F.col("hub").alias("a"), F.col("id").alias("b"))), sets)
-        links.append(told.where(F.col("far") <= far))
-        near = many.join(told.select(F.col("a").alias("hub"), F.col("b").alias("id"), "far"), ["hub", "id"]).select("band", "k", "id", "far")
-        near = stored(near, "near")
-        hangs, rest = near.where(F.col("far") <= far), near.where(F.col("far") > far)
-        if rest.isEmpty():
-            break
-        # hot groups hang together almost whole, so rest is the small side of theirs
-        across = hangs.select("band", "k", F.col("id").alias("x"), F.col("far").alias("x_far")).join(rest.select("band", "k", F.col("id").alias("y"), F.col("far").alias("y_far")), ["band", "k"])
-        across = across.where(F.col("y_far") - F.col("x_far") <= far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        links.append(_verified(across, sets).where(F.col("far") <= far))
-        rows = _replaced(rows, rest.select("id", "band", "k"), "bands")
-    else:
-        raise RuntimeError(f"groups did not settle in {ROUNDS} rounds")
-    out = links[0]
-    for l in links[1:]:
-        out = out.unionByName(l)
-    return out.select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("united").cast("long").alias("united")).distinct()
+    rows = sets.hashed(df, key, items).withColumn("id", F.col("id").cast("long"))
+    found = sets.prefixes(rows, least)
+    copies = stored(_copies(rows, found, least, bands, width), "copies")
+    pairs = sets.candidates(found, least) if copies.isEmpty() else _across(found, components(copies, "a", "b"), least)
+    rest = sets.verified(pairs, rows, found).where(_similar(least))
+    return stored(copies.unionByName(rest), "links")
 
 
 def similar_groups(df: DataFrame, key: str, items: str, least: float, **bands: int) -> DataFrame:

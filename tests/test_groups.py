@@ -71,3 +71,11 @@ def test_near_copies_are_not_all_compared(spark):
 
 def test_empty_table(spark):
     assert groups.similar_groups(spark.createDataFrame([], "k long, w array<string>"), "k", "w", 0.8).count() == 0
+
+
+def test_a_band_of_unlike_sets(spark):
+    rng = random.Random(5)
+    rows = [(i, [*(f"c{j}" for j in range(60)), *(f"w{rng.randrange(5000)}" for _ in range(40))]) for i in range(200)]
+    rows.append((1000, rows[7][1][:95]))
+    links = groups.spanning_links(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 0.8, bands=3, width=1).collect()
+    assert [(r.a, r.b) for r in links] == [(7, 1000)]
