@@ -1,4 +1,4 @@
-"""Users who fall silent: keyed state in maps and lists with event-time timers."""
+"""Users who fall silent: keyed state in lists with event-time timers."""
 
 from __future__ import annotations
 
@@ -15,8 +15,9 @@ SILENCE, DELAY, KEEP = 6 * 3600, "1 hour", 3  # seconds; of the watermark; last
 class Silence(StatefulProcessor):
     """Visits of a key, each told once, when the watermark has passed its last row by the silence.
 
-    State: a map of open visits, start -> (last, rows), and a list of their last rows. A row joins the visits that it is within
-    the silence of, which may make two into one, so rows may come in any order and in any batches. Each visit has one timer.
+    State: a list of open visits, each with its last rows. A row joins the visits that it is within the silence of, which may make two
+    into one, so rows may come in any order and in any batches. A key has one timer, for the visit that is over first, so that a
+    batch reads and writes its state once, however many visits it has.
     """
 
     def __init__(self, silence: int, keep: int):
@@ -24,58 +25,54 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visits = handle.getMapState("visits", "start long", "last long, n long")
-        self.recent = handle.getListState("recent", "at long, id long")
+        self.visits = handle.getListState("visits", "start long, last long, n long, ats array<long>, ids array<long>")
 
     def _due(self, last: int) -> int:
         """When a visit is over, in whole milliseconds, as timers have them."""
         return -(-(last + self.silence) // 1000)
 
+    def _open(self) -> list:
+        """(start, last, rows, last rows) of the visits in state."""
+        return [(s, last, n, list(zip(ats, ids, strict=True))) for s, last, n, ats, ids in self.visits.get()]
+
+    def _put(self, visits: list) -> None:
+        if visits:
+            self.visits.put([(s, last, n, [at for at, _ in rows], [i for _, i in rows]) for s, last, n, rows in visits])
+        else:  # nothing of a silent user stays
+            self.visits.clear()
+
+    def _timer(self, before: list, visits: list) -> None:
+        have, want = (min((self._due(v[1]) for v in x), default=None) for x in (before, visits))
+        if have != want:
+            if have is not None:
+                self.handle.deleteTimer(have)
+            if want is not None:
+                self.handle.registerTimer(want)
+
     def handleInputRows(self, key, rows, timerValues):
-        visits = {k[0]: tuple(v) for k, v in self.visits.iterator()}
-        before, recent = dict(visits), [tuple(x) for x in self.recent.get()]
+        before = self._open()
+        visits = before
         for pdf in rows:
-            for at, own in sorted(zip(pdf["at"].tolist(), pdf["id"].tolist(), strict=True)):
-                recent.append((at, own))
-                met = [s for s, (last, _) in visits.items() if s - self.silence <= at <= last + self.silence]
-                old = [visits.pop(s) for s in met]
-                visits[min([at, *met])] = max([at, *(last for last, _ in old)]), 1 + sum(n for _, n in old)
-        for start in before.keys() - visits.keys():
-            self.visits.removeKey((start,))
-        for start, visit in visits.items():
-            if before.get(start) != visit:
-                self.visits.updateValue((start,), visit)
-        self.recent.put(self._kept(recent, visits))
-        want, have = {self._due(last) for last, _ in visits.values()}, set(self.handle.listTimers())
-        for t in have - want:
-            self.handle.deleteTimer(t)
-        for t in want - have:
-            self.handle.registerTimer(t)
+            new = [(at, at, 1, [(at, own)]) for at, own in zip(pdf["at"].tolist(), pdf["id"].tolist(), strict=True)]
+            met: list[list] = []
+            for start, last, n, own in sorted([*visits, *new], key=lambda v: v[0]):
+                if met and start <= met[-1][1] + self.silence:
+                    met[-1][1:3] = max(met[-1][1], last), met[-1][2] + n
+                    met[-1][3] += own
+                else:
+                    met.append([start, last, n, list(own)])
+            visits = [(s, last, n, sorted(own)[-self.keep :]) for s, last, n, own in met]
+        self._put(visits)
+        self._timer(before, visits)
         return iter(())
 
-    def _kept(self, recent: list, visits: dict) -> list:
-        """The last rows of each open visit."""
-        out = []
-        for start, (last, _) in visits.items():
-            out += sorted(x for x in recent if start <= x[0] <= last)[-self.keep :]
-        return out
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        visits, recent = {k[0]: tuple(v) for k, v in self.visits.iterator()}, [tuple(x) for x in self.recent.get()]
-        over = {s: v for s, v in visits.items() if self._due(v[0]) <= due}
-        out = []
-        for start, (last, n) in sorted(over.items()):
-            self.visits.removeKey((start,))
-            ids = [i for at, i in sorted(recent) if start <= at <= last][-self.keep :]
-            out.append((key[0], start, last, n, ids))
-        open_ = {s: v for s, v in visits.items() if s not in over}
-        if open_:
-            self.recent.put(self._kept(recent, open_))
-        else:  # nothing of a silent user stays
-            self.visits.clear()
-            self.recent.clear()
-        yield pd.DataFrame(out, columns=["key", "start", "last", "n", "ids"])
+        now, visits = timerValues.getCurrentWatermarkInMs(), self._open()
+        over = sorted(v for v in visits if self._due(v[1]) <= max(now - 1, expiredTimerInfo.getExpiryTimeInMs()))
+        left = [v for v in visits if v not in over]
+        self._put(left)
+        self._timer([], left)  # Spark removes the timer that is over
+        yield pd.DataFrame([(key[0], s, last, n, [i for _, i in own]) for s, last, n, own in over], columns=["key", "start", "last", "n", "ids"])
 
     def close(self) -> None:
         pass

@@ -70,3 +70,35 @@ def test_silent_users_are_told_once(spark, tmp_path):
     got = sorted((r.user_id, r.start_ts, r.last_ts, r.n) for r in out)
     assert got == [(1, h(0), h(2 * HOUR), 2), (1, h(12 * HOUR), h(12 * HOUR), 1), (1, h(3 * DAY), h(3 * DAY), 1), (2, h(0), h(5 * HOUR), 2), (2, h(11 * HOUR + 1800), h(12 * HOUR), 2), (3, h(2 * DAY), h(2 * DAY + 1), 2)]
     assert {tuple(r.last_ids) for r in out if r.user_id == 2} == {(1, 3), (5, 4)}  # in order of time
+
+
+def test_state_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        rows: list = []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        def registerTimer(self, at):
+            calls.append(f"register {at}")
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    own = timers.Silence(3600, 2)
+    own.init(Handle())
+    at = [i * 7200 * 1_000_000 for i in range(500)]
+    list(own.handleInputRows((1,), iter([pd.DataFrame({"at": at, "id": range(500)})]), None))
+    assert calls == ["get", "put", "register 3600000"] and len(own.visits.rows) == 500
