@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import funnels, variants
-from ..operators import cells, groups, inequality, ordered, sketches, strings
+from ..operators import cells, groups, inequality, ordered, recursion, sketches, strings
 from ..session import load, scratch, stored
 from ..sources import files, shards
 from ..streaming import timers
@@ -13,6 +13,15 @@ from ..streaming import windows as st
 from .frames import BEST, SESSIONS, frame
 
 
+@frame("cte_recursive", "WITH RECURSIVE t(k, depth, total) AS (SELECT c_custkey, 0, CAST(floor(c_acctbal) AS BIGINT) FROM customer WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, t.depth + 1, t.total + CAST(floor(c.c_acctbal) AS BIGINT) FROM customer c JOIN t ON CAST(floor(c.c_custkey / 2) AS BIGINT) = t.k AND c.c_custkey > 1) SELECT k, depth, total FROM t")
+def cte_recursive(spark, d):
+    """Customers below the first in the tree of halved keys. Spark's WITH RECURSIVE gives up beyond a million rows."""
+    c = load(spark, d, "customer")[0].select(F.col("c_custkey").alias("c"), F.expr("CAST(floor(c_acctbal) AS BIGINT)").alias("own"), F.expr("CAST(floor(c_custkey / 2) AS BIGINT)").alias("half"))
+    first = c.where("c = 1").select(F.col("c").alias("k"), F.lit(0).alias("depth"), F.col("own").alias("total"))
+    below = lambda t: c.where("c > 1").join(t, F.col("half") == F.col("k")).select(F.col("c").alias("k"), (F.col("depth") + 1).alias("depth"), (F.col("total") + F.col("own")).alias("total"))
+    return recursion.union_all(first, below)
+
+
 @frame("join_inequality", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal < c_acctbal AND s_nationkey > c_nationkey")
 def join_inequality(spark, d):
     s, c = load(spark, d, "supplier", "customer")
