@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations, product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-PLACES = 64  # characters up to which a length's segments follow how much its places tell
+PLACES, MORE = 64, 5  # characters up to which a length's segments follow how much its places tell; segments beyond k at most
+TEXTS, MOST_PARTS = 2000, 8192  # texts a partition; partitions
 
 
 def segments_by_information(bits: list[float], k: int) -> list[int]:
@@ -32,6 +35,17 @@ def segments_by_information(bits: list[float], k: int) -> list[int]:
     return best[k + 1][n][1]
 
 
+def _segments(bits: list[float], n: int, k: int) -> list[int]:
+    """Ends of the k + 1 or more segments by which n texts of a length, whose places tell so many bits, meet the fewest others."""
+    length, best = len(bits), (math.inf, [])
+    for m in range(k + 1, min(length, k + MORE) + 1):
+        ends = segments_by_information(bits, m - 1)
+        told = [sum(bits[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+        cost = sum(4 + 3 * n * 2.0 ** (sum(t for i, t in enumerate(told) if i in bad) - sum(told)) for bad in combinations(range(m), k))
+        best = min(best, (cost, ends))
+    return best[1]
+
+
 def _ends(texts: list[DataFrame], k: int) -> dict[int, list[int]]:
     """Ends of the segments of each length up to PLACES, by the entropy of the characters at each place over all texts."""
     both = texts[0].select(F.col(texts[0].columns[0]).alias("t"))
@@ -41,19 +55,60 @@ def _ends(texts: list[DataFrame], k: int) -> dict[int, list[int]]:
     count = each.groupBy("l", "p", "c").agg(F.count("*").alias("n"))
     sums = count.groupBy("l", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     found: dict[int, dict[int, float]] = {}
+    size: dict[int, int] = {}
     for r in sums.collect():  # PLACES * PLACES rows at most
         found.setdefault(r.l, {})[r.p] = math.log2(r.n) - r.s / r.n
-    return {l: segments_by_information([round(p.get(i, 0.0), 6) for i in range(l)], k) for l, p in found.items()}
+        size[r.l] = max(size.get(r.l, 0), r.n)
+    return {l: _segments([round(p.get(i, 0.0), 6) for i in range(l)], size[l], k) for l, p in found.items()}
+
+
+def _cuts(length: int, k: int, ends: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """(start, end) of the segments of texts of this length: even ones beyond PLACES; none where no text has this length."""
+    own = ends.get(length, []) if length <= PLACES else [length * (i + 1) // (k + 2) for i in range(k + 2)]
+    return list(zip([0, *own], own, strict=False))
+
+
+def _keys(text: str, length: int, k: int, ends: dict[int, list[int]]) -> set[str]:
+    """Keys of a text for those of this length: for any k segments of theirs, what stands in the others, if all edits are in these k.
+
+    A text of the length itself, with no shift, has just the key of its own segments.
+    """
+    cuts, off, out = _cuts(length, k, ends), len(text) - length, set()
+    for shifts in product(range(-k, k + 1), repeat=k):
+        if sum(shifts) != off or sum(map(abs, shifts)) > k:
+            continue
+        for c, bad in enumerate(combinations(range(len(cuts)), k)):
+            at, parts, left = 0, [], list(zip(bad, shifts, strict=True))
+            for i, (s, e) in enumerate(cuts):
+                if left and left[0][0] == i:
+                    at += left.pop(0)[1]
+                elif s + at < 0 or e + at > len(text):
+                    break
+                else:
+                    parts.append(text[s + at : e + at])
+            else:
+                out.add(f"{length} {c} {''.join(parts)}")
+    return out
+
 
+def _own_keys(text: str, k: int, ends: dict[int, list[int]]) -> set[str]:
+    cuts = _cuts(len(text), k, ends)
+    return {f"{len(text)} {c} {''.join(text[s:e] for i, (s, e) in enumerate(cuts) if i not in bad)}" for c, bad in enumerate(combinations(range(len(cuts)), k))}
 
-def _segment(length: Column, i: int, k: int, ends: dict[int, list[int]]) -> tuple[Column, Column]:
-    """(start, end) of segment i, from 0, of texts of this length; even ones where no statistics tell more."""
-    n = k + 1
-    even = lambda j: F.floor(length * j / n).cast("int")
-    if not ends:
-        return even(i), even(i + 1)
-    known = F.create_map(*[F.lit(x) for l, e in sorted(ends.items()) for x in (l, e[i - 1] if i else 0)]), F.create_map(*[F.lit(x) for l, e in sorted(ends.items()) for x in (l, e[i])])
-    return tuple(F.coalesce(F.try_element_at(m, length), even(j)) for m, j in zip(known, (i, i + 1), strict=True))
+
+def _keyed(df: DataFrame, keys: Callable[[str], set[str]]) -> DataFrame:
+    """(text, key) of a table of one column, keys by 64 bits: those that are equal by chance only add candidates."""
+    (name,) = df.columns
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.column(0).slice(at, 1024)
+                found = [list(keys(t)) for t in part.to_pylist()]
+                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(rows)), pa.array([x for f in found for x in f], pa.string())], [name, "key"])
+
+    return df.mapInArrow(run, f"{name} string, key string").select(name, F.xxhash64("key").alias("key"))
 
 
 def _without(text: Column, k: int) -> Column:
@@ -66,29 +121,24 @@ def _without(text: Column, k: int) -> Column:
 
 
 def edit_candidates(left: DataFrame, right: DataFrame, k: int, own: bool = False) -> DataFrame:
-    """(a, b, at): pairs of texts that share a segment, among them all within k edits; pairs may come more than once.
+    """(a, b, at): pairs of texts that share all segments but k, among them all within k edits; pairs may come more than once.
 
     left and right have one column of different, non-null texts. own: both are one table, and a pair is wanted once, the
     shorter text, or the lesser of two of one length, as a.
     """
     (a,), (b,) = left.columns, right.columns
     l, r = left.select(F.col(a).alias("a")), right.select(F.col(b).alias("b"))
-    ends = _ends([l] if own else [l, r], k)
-    size = F.length("a")
-    index = l.where(size > k).select("a", F.explode(F.array(*[_key(F.col("a"), size, i, *_segment(size, i, k, ends)) for i in range(k + 1)])).alias("key"))
-    most = F.lit(0) if own else F.lit(k)
-    lengths = F.sequence(F.greatest(F.lit(k + 1), F.length("b") - k), F.length("b") + most)
-    probe = r.where(F.length("b") + most > k).select("b", F.explode(lengths).alias("l"))
-    keys = []
-    for i in range(k + 1):
-        start, end = _segment(F.col("l"), i, k, ends)
-        more = F.length("b") - F.col("l")
-        # where the segment can stand, if no other one tells of the pair as well: as many places off as there are edits before it, or after it
-        low = F.greatest(F.lit(0), start - i, start + more - (k - i))
-        high = F.least(F.length("b") - (end - start), start + i, start + more + (k - i))
-        keys.append(F.when(high >= low, F.transform(F.sequence(low, high), _part(i, end - start))).otherwise(F.array().cast("array<struct<l:int,i:int,s:string>>")))
-    probe = probe.select("b", F.explode(F.array_distinct(F.concat(*keys))).alias("key"))
-    met = index.join(probe, "key").select("a", "b")
+    ship(l.sparkSession)
+    ends, most = _ends([l] if own else [l, r], k), 0 if own else k
+    # by texts, not by bytes: few keys may have very many candidates
+    n = min(MOST_PARTS, 1 + (l.count() if own else l.count() + r.count()) // TEXTS)
+
+    def probes(text: str) -> set[str]:
+        return set().union(*(_keys(text, length, k, ends) for length in range(max(k + 1, len(text) - k), len(text) + most + 1)))
+
+    index = _keyed(l.where(F.length("a") > k).repartition(n), lambda t: _own_keys(t, k, ends)).repartition(n, "key")
+    probe = _keyed(r.where(F.length("b") + most > k).repartition(n), probes).repartition(n, "key")
+    met = index.hint("merge").join(probe, "key").select("a", "b")
     # texts of up to k characters have no such segments; what they are near to has 2 * k at most
     few = [t.where(F.length(c) <= 2 * k).select(c, F.explode(_without(F.col(c), k)).alias("key")) for t, c in ((l, "a"), (r, "b"))]
     met = met.unionAll(few[0].join(few[1], "key").where((F.length("a") <= k) | (F.length("b") <= k)).select("a", "b"))
@@ -97,22 +147,13 @@ def edit_candidates(left: DataFrame, right: DataFrame, k: int, own: bool = False
     return met
 
 
-def _part(i: int, size: Column):
-    """The key of what stands at a place of b, as segment i of a text of l characters."""
-    return lambda p: F.struct(F.col("l").alias("l"), F.lit(i).alias("i"), F.substring("b", p + 1, size).alias("s"))
-
-
-def _key(text: Column, length: Column, i: int, start: Column, end: Column) -> Column:
-    return F.struct(length.alias("l"), F.lit(i).alias("i"), F.substring(text, start + 1, end - start).alias("s"))
-
-
 def edit_join(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """a, b, distance: pairs of the different texts of two one-column tables within k edits.
 
-    Of the k + 1 segments of a text one stands unchanged, near its place, in every text within k edits: an equi join on (length,
-    segment, characters) gives the candidates, and the distance itself, given up beyond k, decides. Segments of a length are cut
-    where the places tell the same amount, so that a beginning that all texts share is no key of its own; beyond PLACES characters they
-    are even. Work follows the candidates, whose keys Spark splits where they are skewed.
+    Of the m segments of a text all but k stand unchanged, near their places, in every text within k edits: an equi join on (length,
+    segments, characters) gives the candidates, and the distance itself, given up beyond k, decides. Segments of a length are cut
+    where the places tell the same amount, so that a beginning that all texts share is no key of its own, and are as many as leave the fewest
+    candidates, so that dense texts, such as numbered names, meet few that are not near; beyond PLACES characters they are k + 2 even ones. Work follows the candidates, whose keys Spark splits where they are skewed.
 
     Null texts match nothing; repeated ones count once; the empty text is k edits from all of k characters; an empty table gives no rows. Characters
     are code points.

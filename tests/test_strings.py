@@ -94,3 +94,8 @@ def test_phrases_of_empty_tables(spark):
 def test_contamination_shuffles_no_text(spark):
     plan = registry.QUERIES["doc_contamination"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Cartesian" not in plan
+
+
+def test_numbered_names_meet_few_that_are_not_near(spark):
+    t = spark.range(10000).selectExpr("concat('Customer#', lpad(cast(id AS string), 9, '0')) AS t")
+    assert strings.edit_candidates(t, t, 2, own=True).where("a < 'Customer#000000100'").count() < 200_000  # 52,200 pairs differ in one or two places; three segments gave 370,800
